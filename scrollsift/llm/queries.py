@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import near_dup
+from scrollsift.llm import bpe_count, near_dup
 
 QUERIES = {
     "op6_near_duplicates": near_dup.op6_near_duplicates,
+    "op7_token_counts": bpe_count.op7_token_counts,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, near_dup
+from scrollsift.llm import bpe_count, nbest, near_dup
 
 QUERIES = {
     "op6_near_duplicates": near_dup.op6_near_duplicates,
     "op7_token_counts": bpe_count.op7_token_counts,
+    "op8_nbest_segmentation": nbest.op8_nbest_segmentation,
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def crc_mod(doc_id, modulus: int) -> int:
 
 def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each part holds about ``max_bytes`` of text."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(col)), 0), dtype=np.int64)
     ends = np.cumsum(lengths)
     start, n = 0, batch.num_rows
     while start < n:
@@ -78,7 +79,7 @@ def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20, col: str = "text") -
 
 def packed(batch: pa.RecordBatch, col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after the other, and the n + 1 offsets; null counts as empty."""
-    arr = pa.compute.fill_null(batch.column(col), "")
+    arr = pc.fill_null(batch.column(col), "")
     arr = arr.cast(pa.large_binary()) if not pa.types.is_large_binary(arr.type) else arr
     off = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = arr.buffers()[2]

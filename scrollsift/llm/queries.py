@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, language, nbest, near_dup, toxicity
+from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, toxicity
 
 QUERIES = {
     "op10_language": language.op10_language,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_near_duplicates": near_dup.op6_near_duplicates,
     "op7_token_counts": bpe_count.op7_token_counts,
     "op8_nbest_segmentation": nbest.op8_nbest_segmentation,

@@ -85,3 +85,8 @@ def packed(batch: pa.RecordBatch, col: str = "text") -> tuple[np.ndarray, np.nda
     data = arr.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[off[0] : off[-1]], off - off[0]
+
+
+def count_kind(spans: str, kind: str) -> Column:
+    """How many spans of a kind an array has."""
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")

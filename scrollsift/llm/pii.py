@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, slices
+from scrollsift.llm.common import count_kind, documents, slices
 
 #: The listed kinds, then the added ones; spans that start together stand in this order.
 BASE = ("email", "ip", "card", "phone")
@@ -162,5 +162,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir))
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [count_kind("spans", k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

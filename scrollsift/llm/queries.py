@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, toxicity
+from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, secret_ledger, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secret_ledger.op1_secret_scan,
     "op10_language": language.op10_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
@@ -13,4 +14,6 @@ QUERIES = {
     "op8_nbest_segmentation": nbest.op8_nbest_segmentation,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": secret_ledger.OP1_SQL,
+}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, secret_ledger, toxicity
+from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, quality, secret_ledger, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_ledger.op1_secret_scan,
+    "op2_quality": quality.op2_quality,
     "op10_language": language.op10_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, language, nbest, near_dup, pii, quality, secret_ledger, toxicity
+from scrollsift.llm import bpe_count, language, mixing, nbest, near_dup, pii, quality, secret_ledger, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_ledger.op1_secret_scan,
     "op2_quality": quality.op2_quality,
+    "op3_mixing": mixing.op3_mixing,
     "op10_language": language.op10_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_ledger.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scrollsift.llm import bpe_count, language, mixing, nbest, near_dup, pii, quality, secret_ledger, toxicity
+from scrollsift.llm import bpe_count, doc_prints, language, mixing, nbest, near_dup, pii, quality, secret_ledger, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_ledger.op1_secret_scan,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op9_fingerprints": doc_prints.op9_fingerprints,
     "op10_language": language.op10_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,

@@ -154,6 +154,21 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> ByteNet | None:
     return net
 
 
+def _scored(net: ByteNet, pairs, part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text of a record batch."""
+    x, text = windows(*packed(part))
+    total = np.zeros((part.num_rows, len(net.classes)))
+    for s in range(0, len(x), 64):
+        np.add.at(total, text[s : s + 64], net.probabilities(x[s : s + 64], pairs))
+    total /= np.maximum(1, np.bincount(text, minlength=part.num_rows))[:, None]
+    lang = np.where(known, np.array(net.classes, object)[total.argmax(1)], UNKNOWN)
+    return lang, np.minimum(np.where(known, total.max(1), 0.0), 1.0)
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """(doc_id, text) -> (doc_id, lang_pred, score), without a shuffle."""
 
@@ -161,23 +176,35 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         pairs = net.pairs()
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                x, text = windows(*packed(part))
-                total = np.zeros((part.num_rows, len(net.classes)))
-                for s in range(0, len(x), 64):
-                    np.add.at(total, text[s : s + 64], net.probabilities(x[s : s + 64], pairs))
-                total /= np.maximum(1, np.bincount(text, minlength=part.num_rows))[:, None]
-                known = np.asarray(part.column("letters").to_numpy(zero_copy_only=False), bool)
-                lang = np.where(known, np.array(net.classes, object)[total.argmax(1)], UNKNOWN)
-                score = np.where(known, total.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.minimum(score, 1.0))], names=["doc_id", "lang_pred", "score"])
-
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", letters)
+                known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+                lang, score = _scored(net, pairs, part, known)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _letters().alias("letters"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
+    """Documents without those of unknown language or of a score below ``least``; all columns stay.
+
+    Without a network there is nothing to reject by but the lack of letters.
+    """
+    rows = docs.filter(_letters())
+    if net is None:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = net.pairs()
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                _, score = _scored(net, pairs, part, np.ones(part.num_rows, bool))
+                yield part.filter(pa.array(score >= least))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 

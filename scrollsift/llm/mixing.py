@@ -11,7 +11,7 @@ budget is not reached, the one that reaches it included.
 Tokens are words between blanks. Null texts have none; null sources and languages
 are nodes of their own (named ''). Documents without tokens come with whole
 epochs only. Repeated rows and rows without doc_id are documents like others,
-ordered by what they are; identical rows are interchangeable. Extra columns are
+ordered by what they are; identical rows are taken together. Extra columns are
 ignored. An empty table gives no rows.
 """
 
@@ -41,11 +41,15 @@ def token_count(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.regexp_count(inner, F.lit(BLANK + "+")) + 1).cast("long")
 
 
-def leaves(docs: DataFrame, core: tuple[str, ...] = CORE) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens) for each row."""
+def leaf_columns(core: tuple[str, ...] = CORE) -> list[Column]:
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     domain = F.when(name("source").isin(*core), "core").otherwise("web")
-    return docs.select("doc_id", domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source"), token_count(text_or_empty()).alias("n_tokens"))
+    return [domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source")]
+
+
+def leaves(docs: DataFrame, core: tuple[str, ...] = CORE) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens) for each row."""
+    return docs.select("doc_id", *leaf_columns(core), token_count(text_or_empty()).alias("n_tokens"))
 
 
 def _weight(level: str, weights: dict) -> Column:
@@ -88,35 +92,62 @@ def budgets(sizes: DataFrame, weights: dict = WEIGHTS, budget: int = BUDGET, epo
     return nodes.select(*LEVELS, "tokens", F.col("b3").alias("share"))
 
 
-def mixed(docs: DataFrame, weights: dict = WEIGHTS, budget: int = BUDGET, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies): how often each row is taken.
+def _digest(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _key(seed: int) -> Column:
+    """Where a row stands in the order of its leaf's last epoch."""
+    return F.struct(_digest(seed).alias("place"), F.col("doc_id"), F.col("n_tokens"))
+
 
-    The prefix of a leaf is found without gathering the leaf: rows fall into buckets
-    by the first digits of their seeded order, buckets are summed, and only the
-    bucket in which the budget is reached is put in order.
+def leaf_plan(rows: DataFrame, weights: dict, budget: int, epochs: int, seed: int) -> DataFrame:
+    """(domain, lang, source, whole, cut): whole epochs of each leaf, and the last row of its prefix.
+
+    The prefix is found without gathering the leaf: rows fall into buckets by the
+    first digits of their seeded order, buckets are summed, and only the bucket in
+    which the budget is reached is put in order.
     """
-    rows = written(leaves(docs), "leaves")
+    on = list(LEVELS)
     sizes = written(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "sizes")
-    shares = written(budgets(sizes, weights, budget, epochs).join(sizes.select(*LEVELS, "rows"), list(LEVELS)), "shares")
+    shares = budgets(sizes, weights, budget, epochs).join(sizes.select(*LEVELS, "rows"), on)
     whole = F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(epochs)).cast("long")
-    plan = shares.withColumn("whole", whole).withColumn("need", F.col("share") - F.col("whole") * F.col("tokens"))
-    planned = rows.join(plan, list(LEVELS))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    plan = written(shares.withColumn("whole", whole).withColumn("need", F.col("share") - F.col("whole") * F.col("tokens")), "shares")
     hexes = 12
     buckets = F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long")
-    bucket = F.floor(F.conv(F.substring(digest, 1, hexes), 16, 10).cast("double") / float(16**hexes) * buckets).cast("long")
-    placed = planned.withColumn("place", digest).withColumn("bucket", bucket)
+    at = F.conv(F.substring(_digest(seed), 1, hexes), 16, 10).cast("double") / float(16**hexes)
+    placed = rows.join(plan, on).withColumn("bucket", F.floor(at * buckets).cast("long"))
     sums = placed.groupBy(*LEVELS, "bucket", "need").agg(F.sum("n_tokens").alias("tokens_in"))
     before = F.coalesce(F.sum("tokens_in").over(W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = sums.withColumn("before", before).filter("need > before and need <= before + tokens_in")
-    edge = written(at.select(*LEVELS, F.col("bucket").alias("edge"), "before"), "edge")
-    known = placed.join(edge, list(LEVELS), "left")
-    inside = known.filter("bucket = edge")
-    own = W.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
-    reached = inside.withColumn("taken", F.col("before") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0)) < F.col("need"))
-    others = known.filter("edge is null or bucket != edge").withColumn("taken", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
-    both = reached.unionByName(others)
-    return both.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + F.col("taken").cast("long")).alias("copies"))
+    reached = sums.withColumn("before", before).filter("need > before and need <= before + tokens_in")
+    edge = written(reached.select(*LEVELS, "bucket", "before"), "edge")
+    key = placed.withColumn("key", _key(seed)).join(edge, [*LEVELS, "bucket"])
+    own = W.partitionBy(*LEVELS).orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    taken = key.withColumn("sum", F.col("before") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).filter("sum < need")
+    cut = taken.groupBy(*LEVELS).agg(F.max("key").alias("cut"))
+    return written(plan.select(*LEVELS, "whole").join(cut, on, "left"), "plan")
+
+
+def mixed(docs: DataFrame, weights: dict = WEIGHTS, budget: int = BUDGET, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, copies): how often each row is taken."""
+    rows = written(leaves(docs), "leaves")
+    plan = leaf_plan(rows, weights, budget, epochs, seed)
+    copies = F.col("whole") + F.coalesce((_key(seed) <= F.col("cut")).cast("long"), F.lit(0))
+    return rows.join(plan, list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", copies.alias("copies"))
+
+
+def select_mixed(docs: DataFrame, weights: dict = WEIGHTS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
+    """Documents of a mix without repeats: those in each leaf's prefix; all columns stay.
+
+    Texts aren't shuffled as long as Spark finds the leaves' plan small enough to broadcast.
+    """
+    plan = leaf_plan(written(leaves(docs), "leaves"), weights, budget, 1, seed)
+    tag = F.struct(*leaf_columns(), token_count(text_or_empty()).alias("n_tokens")).alias("_leaf")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), tag)
+    same = [F.col(f"_leaf.{c}") == F.col(f"_plan.{c}") for c in LEVELS]
+    known = tagged.join(plan.select(F.struct("*").alias("_plan")), same)
+    key = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_plan.whole"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")))).alias("place"), F.col("_row.doc_id").alias("doc_id"), F.col("_leaf.n_tokens").alias("n_tokens"))
+    return known.filter((F.col("_plan.whole") > 0) | F.coalesce(key <= F.col("_plan.cut"), F.lit(False))).select("_row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,88 @@
+"""Pieces shared by the queries and their SQL."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scrollsift.functions import defaults as D
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as BIGINT and fractions as DOUBLE."""
+    to = {"int": "long", "smallint": "long", "tinyint": "long", "float": "double"}
+    return df.select(*[F.col(f"`{n}`").cast(to[t]).alias(n) if t in to else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def replaced(column: str, rules) -> str:
+    return reduce(lambda c, r: f"regexp_replace({c}, {quoted(r[0])}, {quoted(r[1])}, 'g')", rules, column)
+
+
+TIER1_RULES = [(p, r) for _, p, r, _ in D.TIER1]
+TIER3_RULES = [(p, r) for _, p, r in D.TIER3]
+
+#: Captures and their lines, in SQL.
+CAPTURES = """
+caps AS (SELECT doc_id AS capture_id, source AS session_id, doc_id AS ts, coalesce(text, '') AS output FROM documents)"""
+LINES = """
+cut AS (SELECT session_id, ts, capture_id, string_split(output, chr(10)) AS p FROM caps),
+listed AS (SELECT session_id, ts, capture_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM cut),
+placed AS (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM listed),
+lines AS (SELECT session_id, ts, capture_id, CAST(i - 1 AS BIGINT) AS line_no, regexp_replace(q[i], '\\r$', '') AS line FROM placed)"""
+FORMS = f"""
+forms AS (SELECT *, {replaced("line", TIER1_RULES)} AS normalized FROM lines),
+counted AS (SELECT *, row_number() OVER (PARTITION BY session_id, normalized ORDER BY ts, capture_id, line_no) AS occurrence FROM forms),
+kept1 AS (SELECT * FROM counted WHERE occurrence <= {D.MAX_OCCURRENCES})"""
+
+
+def entropy_sql(line: str) -> str:
+    p = f"((length({line}) - length(replace({line}, c, ''))) / CAST(strlen({line}) AS DOUBLE))"
+    return f"(CASE WHEN {line} = '' THEN 0.0 ELSE -list_sum(list_transform(list_distinct(string_split({line}, '')), lambda c: {p} * log2({p}))) END)"
+
+
+def change_sql(a: str, b: str) -> str:
+    chars = lambda x: f"list_distinct(CASE WHEN {x} = '' THEN [] ELSE string_split({x}, '') END)"
+    return f"(CASE WHEN {a} = {b} THEN 0.0 ELSE 1 - len(list_intersect({chars(a)}, {chars(b)})) / CAST(len(list_distinct(list_concat({chars(a)}, {chars(b)}))) AS DOUBLE) END)"
+
+
+def technical_sql(line: str) -> str:
+    total = " + ".join(f"len(regexp_extract_all({line}, {quoted(p)})) * CAST({w} AS DOUBLE)" for _, p, w in D.TECHNICAL)
+    return f"least(({total}) / CAST({D.MAX_TECHNICAL} AS DOUBLE), 1.0)"
+
+
+_W = D.TIER2_WEIGHTS
+SCORES = f"""
+seen AS (SELECT *, count(*) OVER (PARTITION BY session_id, capture_id, line) AS freq, count(*) OVER (PARTITION BY session_id, capture_id) AS total_lines,
+  lag(line) OVER (PARTITION BY session_id, capture_id ORDER BY line_no) AS previous FROM kept1),
+parts AS (SELECT *, round({entropy_sql("line")} * CAST({_W["entropy"]} AS DOUBLE), 6) AS entropy,
+  round((1 - freq / CAST(total_lines AS DOUBLE)) * CAST({_W["uniqueness"]} AS DOUBLE), 6) AS uniqueness,
+  round({technical_sql("line")} * CAST({_W["technical"]} AS DOUBLE), 6) AS technical,
+  round((CASE WHEN previous IS NULL THEN 1.0 ELSE {change_sql("line", "previous")} END) * CAST({_W["change"]} AS DOUBLE), 6) AS change FROM seen),
+scored AS (SELECT *, round(entropy + uniqueness + technical + change, 6) AS score FROM parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, capture_id ORDER BY score) AS rk FROM scored),
+bounded AS (SELECT *, max(CASE WHEN rk = least(CAST(floor(CAST(total_lines AS FLOAT) * CAST({D.PERCENTILE} AS FLOAT)) AS BIGINT), total_lines - 1) + 1 THEN score END)
+  OVER (PARTITION BY session_id, capture_id) AS threshold FROM ranked),
+kept2 AS (SELECT * FROM bounded WHERE score >= threshold)"""
+
+
+def clusters_sql(lines: str, rules, least: int, most: int, order: str) -> str:
+    return f"""
+named AS (SELECT session_id, capture_id, line_no, line, {replaced("line", rules)} AS pattern FROM {lines}),
+grouped AS (SELECT *, count(*) OVER (PARTITION BY session_id, capture_id, pattern) AS n, row_number() OVER (PARTITION BY session_id, capture_id, pattern ORDER BY line_no) - 1 AS i FROM named),
+dealt AS (SELECT *, CASE WHEN n < {least} THEN i WHEN n > {most} THEN i // {most} ELSE 0 END AS split_no,
+  CASE WHEN n < {least} THEN 'singleton' WHEN n > {most} THEN 'split' ELSE 'count' END AS kind FROM grouped),
+clusters AS (SELECT session_id, capture_id, pattern, CAST(split_no AS BIGINT) AS split_no, kind, first(line ORDER BY {order}) AS representative, count(*) AS size,
+  min(line_no) AS first_seen, max(line_no) AS last_seen, string_agg(line, chr(10) ORDER BY line_no) AS members FROM dealt GROUP BY ALL)"""
+
+
+ORDER = {
+    "first": "line_no",
+    "longest": "strlen(line) DESC, line_no DESC",
+    "highest_entropy": f"round({entropy_sql('line')}, 6) DESC, line_no DESC",
+}

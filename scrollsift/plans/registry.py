@@ -1,5 +1,10 @@
 """All queries of the engine and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from scrollsift.plans import filters
+
+MODULES = (filters,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "filter_pipeline"

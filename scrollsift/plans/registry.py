@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scrollsift.plans import filters
+from scrollsift.plans import entity, filters
 
-MODULES = (filters,)
+MODULES = (filters, entity)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "filter_pipeline"

@@ -89,9 +89,9 @@ def parse_service(value: Column) -> Column:
 
 def format_size(size: Column) -> Column:
     """Steps of 1024 with two decimals, B to TB."""
-    out = F.format_string("%.2f TB", size / float(1024**4))
+    out = F.format_string("%.2f TB", F.bround(size / float(1024**4), 2))
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(size < float(1024 ** (power + 1)), F.format_string(f"%.2f {unit}", size / float(1024**power))).otherwise(out)
+        out = F.when(size < float(1024 ** (power + 1)), F.format_string(f"%.2f {unit}", F.bround(size / float(1024**power), 2))).otherwise(out)
     return out
 
 

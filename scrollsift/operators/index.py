@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +90,6 @@ def hashing_embedder(dimension: int):
 
     It stands in for a model behind the same function; an empty text has no vector.
     """
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []

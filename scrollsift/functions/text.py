@@ -15,7 +15,7 @@ def lines(text: Column) -> Column:
     """Lines of a text: cut at newlines, one carriage return stripped, no empty last line."""
     parts = F.split(text, "\n")
     cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(F.coalesce(cut, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, "\r$", ""))
+    return F.transform(F.coalesce(cut, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
 def characters(text: Column) -> Column:

@@ -131,7 +131,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> ByteNet | None:
     one from a seeded place of each sampled text.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("train"))
-    known = labelled.filter("doc_id is not null and text is not null and lang is not null and length(text) > 0")
+    known = labelled.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and length(text) > 0")
     ids = known.select("lang", "doc_id", order.alias("o"))
     salted = W.partitionBy("lang", F.pmod("o", F.lit(64))).orderBy("o", "doc_id")
     first = ids.withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= max_rows)

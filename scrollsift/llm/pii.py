@@ -164,3 +164,42 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
     counts = [count_kind("spans", k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+#: The same kinds for SQL: pattern, group that is the span, and what makes a match (value v, character before it p) good.
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST({_DIGITS}[-j] AS INT) "
+    f"ELSE CAST({_DIGITS}[-j] AS INT) * 2 - CASE WHEN CAST({_DIGITS}[-j] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+)
+_FORMS = "|".join(f for c in CUES for f in (c, c.upper(), c.capitalize()))
+_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0, "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 0, "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS BIGINT) > 255)) = 0"),
+    "card": (r"[0-9](?:[ -]?[0-9])+", 0, f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    "url": (rf"(?:https|http|ftps|ftp|ldap|sftp|smb|ssh)://{USER_AT_HOST.pattern}", 0, r"NOT regexp_matches(p, '[\p{L}\p{N}]')"),
+    "account": (rf"(?:{_FORMS}){IDENTIFIER.pattern.removesuffix('(?![A-Za-z0-9])')}", 1, f"NOT regexp_matches(p, '[\\p{{L}}\\p{{N}}]') AND length({_DIGITS}) >= 6 AND NOT regexp_matches(n, '[A-Za-z0-9]')"),
+}
+
+
+def _kind_sql(rank: int, kind: str) -> str:
+    pattern, group, good = _SQL[kind]
+    q = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT doc_id, {rank} AS k, '{kind}' AS kind, s + length(m) - length(v) AS s, s + length(m) AS e FROM (
+    SELECT doc_id, m, s, regexp_extract(m, {q}, {group}) AS v, substring(t, s, CASE WHEN s > 0 THEN 1 ELSE 0 END) AS p, substring(t, s + length(m) + 1, 1) AS n FROM (
+      SELECT doc_id, t, x[i] AS m, CAST(list_sum(list_transform(b[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(x[1:i-1], lambda z: length(z))), 0) AS BIGINT) AS s FROM (
+        SELECT *, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, {q}) AS x, string_split_regex(t, {q}) AS b FROM texts))))
+  WHERE {good}"""
+
+
+OP5_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_kind_sql(k, kind) for k, kind in enumerate(KINDS))}),
+named AS (SELECT *, kind || ':' || s || ':' || e AS span FROM found),
+joined AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  string_agg(span, ',' ORDER BY s, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM named GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (doc_id)
+"""

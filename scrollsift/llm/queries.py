@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_ledger.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op5_pii": pii.OP5_SQL,
 }

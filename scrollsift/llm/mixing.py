@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import BLANK, documents, text_or_empty, written
+from scrollsift.llm.common import NON_BLANK_RUN, documents, text_or_empty, written
 
 SEED = 17
 #: Tokens wanted, as parts of a thousand of all tokens; most epochs of a leaf.
@@ -36,9 +36,8 @@ BUCKET_ROWS = 2000
 
 
 def token_count(text: Column) -> Column:
-    """Words between blanks: the blank runs inside the trimmed text, and one."""
-    inner = F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.regexp_count(inner, F.lit(BLANK + "+")) + 1).cast("long")
+    """Words between blanks, counted in one pass."""
+    return F.regexp_count(text, F.lit(NON_BLANK_RUN)).cast("long")
 
 
 def leaf_columns(core: tuple[str, ...] = CORE) -> list[Column]:

@@ -27,6 +27,16 @@ def postings(docs: DataFrame) -> DataFrame:
     return placed.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def removed(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents, postings or vectors without those of the given ids."""
+    return table.join(ids.select("id"), "id", "left_anti")
+
+
+def size(docs: DataFrame) -> DataFrame:
+    """One row: documents in the index and distinct ids (an id may be added more than once)."""
+    return docs.agg(F.count("*").alias("documents"), F.count_distinct("id").alias("ids"))
+
+
 def query_terms(query: str) -> list[str]:
     """Terms of a query by the index's own rules."""
     words, word = [], ""

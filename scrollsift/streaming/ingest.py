@@ -50,6 +50,17 @@ def tier1(captures: DataFrame, registry: Registry, ttl_ms: int | None = None) ->
     return lines.groupBy("session_id", "normalized").transformWithStateInPandas(FirstLines(registry.tier1.max_occurrences, ttl_ms), KEPT, "append", "processingTime" if ttl_ms else "none")
 
 
+def state_gauge(spark, checkpoint: str) -> DataFrame:
+    """(session_id, forms): keys whose counts the first tier's state holds, by session."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "seen").load()
+    return state.groupBy("key.session_id").agg(F.count("*").alias("forms"))
+
+
+def counted(messages: DataFrame, name: str = "messages") -> DataFrame:
+    """Decoded messages that report, with each batch's progress, how many came and how many were unusable."""
+    return messages.observe(name, F.count("*").alias("processed"), F.count_if(F.col("reject").isNotNull()).alias("errors"))
+
+
 def batch_writer(folder: str, registry: Registry):
     """foreachBatch: one set of tables a batch below ``folder``, written parents first.
 

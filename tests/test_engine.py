@@ -92,6 +92,8 @@ def test_index(spark):
     assert [r.id for r in I.bm25(docs, "CVE-2021-44228").collect()] == [3]
     with pytest.raises(ValueError):
         I.bm25(docs, "  ")
+    left = I.removed(docs, docs.filter("id = 1").select("id"))
+    assert tuple(I.size(left).first()) == (3, 3) and {r.id for r in I.bm25(left, "fox").collect()} == {2}
 
 
 def test_knn(spark):
@@ -168,6 +170,21 @@ def test_export(spark, tmp_path):
     assert (out.name, out.rows) == ("t", 5)
 
 
+def test_streaming_first_tier(spark, tmp_path):
+    schema = "capture_id long, session_id string, ts long, output string"
+    landing, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = 0
+    for k, text in enumerate(("R\nR\nR\nN", "R\nN\nN\nN")):
+        spark.createDataFrame([(k, "s", k, text)], schema).coalesce(1).write.mode("append").parquet(landing)
+        lines = ingest.tier1(spark.readStream.schema(schema).parquet(landing), REGISTRY)
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(out).count()
+        assert rows - kept == (4, 2)[k]
+        kept = rows
+    assert [(r.session_id, r.forms) for r in ingest.state_gauge(spark, state).collect()] == [("s", 2)]
+
+
 def test_ingest_stream(spark, tmp_path):
     landing, out = tmp_path / "in", str(tmp_path / "out")
     landing.mkdir()

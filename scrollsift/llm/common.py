@@ -90,3 +90,11 @@ def packed(batch: pa.RecordBatch, col: str = "text") -> tuple[np.ndarray, np.nda
 def count_kind(spans: str, kind: str) -> Column:
     """How many spans of a kind an array has."""
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

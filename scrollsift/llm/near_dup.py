@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, written
+from scrollsift.llm.common import documents, free_name, written
 from scrollsift.llm.components import components
 from scrollsift.llm.hamming import covering_masks, hamming_links
 
@@ -94,12 +95,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows without doc_id stay; of rows that share a doc_id one stays.
     """
-    from pyspark.sql import Window as W
-
-    kept = written(
-        near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(),
-        "kept",
-    )
+    kept_id, place = free_name("_kept", docs), free_name("_place", docs)
+    stays = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id))
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").filter("doc_id is null or _kept is not null")
-    return named.withColumn("_n", first).filter("doc_id is null or _n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(written(stays.distinct(), "kept"), F.col("doc_id") == F.col(kept_id))
+    named = joined.withColumn(place, first).filter(F.col(place) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).unionByName(docs.filter("doc_id is null"))  # rows without doc_id are never joined

@@ -14,7 +14,7 @@ from scrollsift.llm import bpe_count, common, doc_prints, hamming, mixing, nbest
 from scrollsift.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, kind string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _kept int, fp string"
 
 #: Nulls, empty and odd texts, repeated rows, ties; columns whose names clash with inner ones.
 ODD = [

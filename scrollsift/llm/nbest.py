@@ -16,6 +16,7 @@ the library.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -33,13 +34,13 @@ from scrollsift.llm.common import documents
 MODEL = "piece_bpe_32k.model"
 META = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE, CACHED_CHARS = 200_000, 48
+CACHE, CACHED_CHARS = 1_000_000, 48
 #: Letters, and whatever else is neither letter nor meta symbol, each with the meta symbols before it.
 CHUNK = re.compile(rf"{META}*[^\W\d_¹²³]+|{META}*(?:[^\w{META}]|[\d_¹²³])+|{META}+")
 
 
 class Model(dict):
-    """A piece vocabulary; as a dict it remembers the two best segmentations of short chunks."""
+    """A piece vocabulary; as a dict it remembers what the searches of short chunks gave."""
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,11 +62,10 @@ class Model(dict):
             node.setdefault(piece[-1], [None, {}])[0] = (i, self.score[i])
 
     def __missing__(self, chunk: str) -> tuple:
-        """(pieces, best score, loss of the second best or infinity, its pieces, best ids, second ids)."""
-        best, *rest = [*self.segmentations(chunk, 2)]
-        lost = best[0] - rest[0][0] if rest else float("inf")
-        ids, other = (np.array(x, np.int32).tobytes() for x in (best[1], rest[0][1] if rest else ()))
-        found = (len(best[1]), best[0], lost, len(other) // 4, ids, other)
+        """(best score, loss of the second best or infinity, best ids)."""
+        search = self.segmentations(chunk, 1)
+        score, ids, bound = next(search)
+        found = (score, score - bound, array("i", ids).tobytes())
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -93,16 +93,23 @@ class Model(dict):
                 ahead[i + 1] = max(ahead[i + 1], here + self.unknown)
         return ahead, ending
 
-    def segmentations(self, chunk: str, n: int) -> Iterator[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a chunk, best first, by backward A-star."""
+    def segmentations(self, chunk: str, n: int) -> Iterator[tuple[float, tuple[int, ...], float]]:
+        """The n best segmentations of a chunk, best first, by backward A-star: (score, ids, score of the next).
+
+        The heuristics are exact, so the top of the heap tells the next score before
+        its path is followed; it is minus infinity after the last.
+        """
         ahead, ending = self.lattice(chunk)
-        order = count()
+        order, visits, most = count(), [0] * (len(chunk) + 1), n
         heap = [(-ahead[-1], next(order), len(chunk), 0.0, None)]
         while heap and n:
             _, _, at, behind, path = heappop(heap)
+            visits[at] += 1
+            if visits[at] > most:
+                continue  # no further way from here can be among the n best
             if not at:
                 n -= 1
-                yield behind, self.ids(path)
+                yield behind, self.ids(path), -heap[0][0] if heap else float("-inf")
                 continue
             for start, s, piece in ending[at]:
                 g = behind + s
@@ -131,7 +138,7 @@ class Model(dict):
         best: list[tuple[float, tuple]] = [(0.0, ())]
         for chunk in self.chunks(text):
             options = [*self.segmentations(chunk, n)]
-            sums = ((a + s, (path, ids)) for a, path in best for s, ids in options)
+            sums = ((a + s, (path, ids)) for a, path in best for s, ids, _ in options)
             best = sorted(sums, key=lambda x: -x[0])[:n]
         out = []
         for score, path in best:
@@ -160,15 +167,16 @@ def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
     text, and whether decoding the best gives the text again. Without a shuffle."""
 
     def one(m: Model, text: str) -> tuple:
-        found = list(map(m.__getitem__, m.chunks(text)))
-        if not found:
+        chunks = m.chunks(text)
+        if not chunks:
             return np.zeros(0, np.int32), None, 0.0, None, True
-        _, scores, lost, _, best, other = zip(*found, strict=True)
+        scores, lost, best = zip(*map(m.__getitem__, chunks), strict=True)
         ids = np.frombuffer(b"".join(best), np.int32)
         score, at = float(sum(scores)), int(np.argmin(lost))
         second = None
-        if lost[at] < float("inf"):
-            second = np.frombuffer(b"".join((*best[:at], other[at], *best[at + 1 :])), np.int32)
+        if lost[at] < float("inf"):  # the second best differs in the chunk that loses least by it
+            other = array("i", [*m.segmentations(chunks[at], 2)][1][1]).tobytes()
+            second = np.frombuffer(b"".join((*best[:at], other, *best[at + 1 :])), np.int32)
         back = m.decode(ids.tolist()) == text.replace(META, " ")
         return ids, second, score, None if second is None else score - lost[at], back
 
@@ -201,15 +209,14 @@ def decode_documents(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """The rows of op8: counts, scores and SHA-256 of the ids, comma-joined."""
-    sha = lambda c: F.sha2(F.array_join(c, ","), 256)
+    """The rows of op8: counts, scores and SHA-256 of the best ids, comma-joined."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "best_score",
         "second_score",
-        sha("ids").alias("ids_sha256"),
-        sha("second_ids").alias("second_sha256"),
+        F.size("second_ids").cast("long").alias("n_second_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         "round_trip",
     )
 

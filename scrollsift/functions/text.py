@@ -22,22 +22,34 @@ def characters(text: Column) -> Column:
     return F.array_remove(F.split(text, ""), "")
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Entropy of the characters, their shares taken of the length in bytes."""
+def character_set(text: Column) -> Column:
+    return F.array_distinct(characters(text))
+
+
+def shannon_entropy(text: Column, distinct: Column | None = None) -> Column:
+    """Entropy of the characters, their shares taken of the length in bytes.
+
+    distinct: the text's character set, if it is at hand.
+    """
+    distinct = character_set(text) if distinct is None else distinct
     size = F.octet_length(text).cast("double")
 
     def bits(acc: Column, c: Column) -> Column:
         p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / size
         return acc - p * F.log2(p)
 
-    return F.when(text == "", F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(characters(text)), F.lit(0.0), bits))
+    return F.when(text == "", F.lit(0.0)).otherwise(F.aggregate(distinct, F.lit(0.0), bits))
 
 
 def change_score(text: Column, other: Column) -> Column:
     """0 for equal texts, else 1 less the Jaccard likeness of their character sets."""
-    a, b = characters(text), characters(other)
-    jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    return F.when(text == other, F.lit(0.0)).otherwise(1 - jaccard)
+    return F.when(text == other, F.lit(0.0)).otherwise(1 - jaccard(character_set(text), character_set(other)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Likeness of two sets: what both have over what either has."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def normalize(text: Column, rules: Iterable[tuple[str, str]]) -> Column:

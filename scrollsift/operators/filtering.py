@@ -48,28 +48,37 @@ def tier2_scores(lines: DataFrame, registry: Registry) -> DataFrame:
     """Score of each line and its parts, against its own capture, to six decimals."""
     weights: Tier2 = registry.tier2
     whole, same = W.partitionBy(*CAPTURE), W.partitionBy(*CAPTURE, "line")
-    previous = F.lag("line").over(whole.orderBy("line_no"))
+    order = whole.orderBy("line_no")
+    # each line is taken apart once; the line before it lends its set
     seen = (
-        lines.withColumn("freq", F.count("*").over(same))
+        lines.withColumn("_set", T.character_set(F.col("line")))
+        .withColumn("freq", F.count("*").over(same))
         .withColumn("total_lines", F.count("*").over(whole))
-        .withColumn("previous", previous)
+        .withColumn("_previous", F.lag("line").over(order))
+        .withColumn("_previous_set", F.lag("_set").over(order))
     )
+    change = F.when(F.col("_previous").isNull(), F.lit(1.0)).when(F.col("line") == F.col("_previous"), F.lit(0.0)).otherwise(1 - T.jaccard(F.col("_set"), F.col("_previous_set")))
     parts = {
-        "entropy": F.round(T.shannon_entropy(F.col("line")) * weights.entropy, 6),
+        "entropy": F.round(T.shannon_entropy(F.col("line"), F.col("_set")) * weights.entropy, 6),
         "uniqueness": F.round((1 - F.col("freq") / F.col("total_lines")) * weights.uniqueness, 6),
         "technical": F.round(registry.technical(F.col("line")) * weights.technical, 6),
-        "change": F.round(F.when(F.col("previous").isNull(), F.lit(1.0)).otherwise(T.change_score(F.col("line"), F.col("previous"))) * weights.change, 6),
+        "change": F.round(change * weights.change, 6),
     }
     scored = seen.select("*", *[c.alias(n) for n, c in parts.items()])
-    return scored.withColumn("score", F.round(F.col("entropy") + F.col("uniqueness") + F.col("technical") + F.col("change"), 6)).drop("previous")
+    return scored.withColumn("score", F.round(F.col("entropy") + F.col("uniqueness") + F.col("technical") + F.col("change"), 6)).drop("_set", "_previous", "_previous_set")
 
 
 def tier2(lines: DataFrame, registry: Registry) -> DataFrame:
     """Lines whose score reaches the capture's percentile; ties stay."""
+    return tier2_bounded(lines, registry).filter("score >= threshold")
+
+
+def tier2_bounded(lines: DataFrame, registry: Registry) -> DataFrame:
+    """All lines with their score and the capture's threshold."""
     by_score = W.partitionBy(*CAPTURE).orderBy("score")
     ranked = tier2_scores(lines, registry).withColumn("rank", F.row_number().over(by_score))
     at = F.max(F.when(F.col("rank") == floor_rank(F.col("total_lines"), registry.tier2.percentile), F.col("score")))
-    return ranked.withColumn("threshold", at.over(W.partitionBy(*CAPTURE))).filter("score >= threshold").drop("rank")
+    return ranked.withColumn("threshold", at.over(W.partitionBy(*CAPTURE))).drop("rank")
 
 
 def tier3(lines: DataFrame, registry: Registry) -> DataFrame:
@@ -119,14 +128,17 @@ def filter_pipeline(captures: DataFrame, registry: Registry) -> DataFrame:
 
 
 def filter_stats(captures: DataFrame, registry: Registry) -> DataFrame:
-    """Lines before and after each tier, clusters, and the reduction, for each capture."""
-    key = list(CAPTURE)
+    """Lines before and after each tier, clusters, and the reduction, for each capture.
+
+    The tiers run once; clusters are counted from the sizes of their forms.
+    """
+    key, config = list(CAPTURE), registry.tier3
     given = captures.select(*CAPTURE, F.size(T.lines(F.col("output"))).cast("long").alias("input_lines"))
-    first = tier1(explode_lines(captures), registry)
-    after1 = first.groupBy(*key).agg(F.count("*").alias("tier1_lines"))
-    second = tier2(first, registry)
-    after2 = second.groupBy(*key).agg(F.count("*").alias("tier2_lines"))
-    after3 = tier3(second, registry).groupBy(*key).agg(F.count("*").alias("clusters"))
-    joined = given.join(after1, key, "left").join(after2, key, "left").join(after3, key, "left").fillna(0, ["tier1_lines", "tier2_lines", "clusters"])
+    bounded = tier2_bounded(tier1(explode_lines(captures), registry), registry).withColumn("kept", F.col("score") >= F.col("threshold"))
+    forms = bounded.groupBy(*key, "kept", F.when(F.col("kept"), registry.normalize_tier3(F.col("line"))).alias("form")).agg(F.count("*").alias("n"))
+    n = F.col("n")
+    clusters = F.when(n < config.min_size, n).when(n > config.max_size, F.ceil(n / config.max_size)).otherwise(F.lit(1))
+    counts = forms.groupBy(*key).agg(F.sum("n").alias("tier1_lines"), F.sum(F.when(F.col("kept"), n)).alias("tier2_lines"), F.sum(F.when(F.col("kept"), clusters)).alias("clusters"))
+    joined = given.join(counts, key, "left").fillna(0, ["tier1_lines", "tier2_lines", "clusters"])
     reduction = F.when(F.col("input_lines") > 0, F.round((1 - F.col("clusters") / F.col("input_lines")) * 100, 6)).otherwise(F.lit(0.0))
     return joined.withColumn("reduction_percent", reduction)

@@ -24,7 +24,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return tables.read(spark, d, "pages").select(F.col("page_id").alias("capture_id"), F.col("page_id").alias("ts"), F.coalesce("html", F.lit("")).alias("output"))
+    return tables.spread(tables.read(spark, d, "pages")).select(F.col("page_id").alias("capture_id"), F.col("page_id").alias("ts"), F.coalesce("html", F.lit("")).alias("output"))
 
 
 def _found(spark, d, types=None):

@@ -22,7 +22,7 @@ FUSION = V.Fusion()
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return tables.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tables.spread(tables.read(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -10,15 +10,25 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of an input that has fewer splits than there are cores.
+
+    Only an input of a few splits is shuffled by this; a large one has splits enough
+    and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def captures(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as captures: (capture_id, session_id, ts, output)."""
-    return read(spark, folder, "documents").select(
+    return spread(read(spark, folder, "documents")).select(
         F.col("doc_id").alias("capture_id"), F.col("source").alias("session_id"), F.col("doc_id").alias("ts"), F.coalesce("text", F.lit("")).alias("output")
     )
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as sessions whose turns are captures."""
-    return read(spark, folder, "conversations").select(
+    return spread(read(spark, folder, "conversations")).select(
         F.col("turn").alias("capture_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ts"), F.coalesce("text", F.lit("")).alias("output")
     )

@@ -96,20 +96,22 @@ class Model(dict):
     def segmentations(self, chunk: str, n: int) -> Iterator[tuple[float, tuple[int, ...], float]]:
         """The n best segmentations of a chunk, best first, by backward A-star: (score, ids, score of the next).
 
-        The heuristics are exact, so the top of the heap tells the next score before
-        its path is followed; it is minus infinity after the last.
+        The heuristics are exact, so the top of the heap, or a way left unfollowed above
+        it, tells the next score before its path is followed; it is minus infinity after
+        the last.
         """
         ahead, ending = self.lattice(chunk)
-        order, visits, most = count(), [0] * (len(chunk) + 1), n
+        order, visits, most, left = count(), [0] * (len(chunk) + 1), n, float("-inf")
         heap = [(-ahead[-1], next(order), len(chunk), 0.0, None)]
         while heap and n:
-            _, _, at, behind, path = heappop(heap)
+            lower, _, at, behind, path = heappop(heap)
             visits[at] += 1
-            if visits[at] > most:
-                continue  # no further way from here can be among the n best
+            if visits[at] > most:  # no further way from here can be among the n best, but it may be the next
+                left = max(left, -lower)
+                continue
             if not at:
                 n -= 1
-                yield behind, self.ids(path), -heap[0][0] if heap else float("-inf")
+                yield behind, self.ids(path), max(left, -heap[0][0]) if heap else left
                 continue
             for start, s, piece in ending[at]:
                 g = behind + s

@@ -297,6 +297,22 @@ def test_nbest_equals_all_segmentations():
         assert all(m.decode(ids) == text for _, ids in got)
 
 
+def test_second_segmentation_of_tied_chunks(spark):
+    m = nbest.model(nbest.MODEL)
+    m.by_piece = {bytes(m.surface[i]).decode(): i for i in m.score}
+    texts = ["ingered", "rrrr", "x.%%%", "ingered rrrr", "the ingered"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ties = 0
+    for r in nbest.encode_documents(docs).collect():
+        every = sorted(all_segmentations(m, nbest.META + texts[r.doc_id].replace(" ", nbest.META)), key=lambda x: -x[0])
+        assert [r.best_score, r.second_score] == [s for s, _ in every[:2]]
+        of = {ids: s for s, ids in every}
+        assert of[tuple(r.ids)] == r.best_score and of[tuple(r.second_ids)] == r.second_score
+        assert r.ids != r.second_ids
+        ties += r.best_score == r.second_score
+    assert ties >= 3
+
+
 def test_encoding_round_trip(odd):
     encoded = nbest.encode_documents(odd)
     back = {(r.doc_id, r.text) for r in nbest.decode_documents(encoded).collect()}

@@ -211,14 +211,16 @@ def decode_documents(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """The rows of op8: counts, scores and SHA-256 of the best ids, comma-joined."""
+    """The rows of op8: counts, scores and SHA-256 of the ids, comma-joined; without a second segmentation its columns are null."""
+    sha = lambda c: F.sha2(F.array_join(c, ","), 256)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "best_score",
         "second_score",
         F.size("second_ids").cast("long").alias("n_second_pieces"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        sha("ids").alias("ids_sha256"),
+        sha("second_ids").alias("second_sha256"),
         "round_trip",
     )
 

@@ -322,6 +322,15 @@ def test_encoding_round_trip(odd):
     assert all(r.second_score is None or r.second_score <= r.best_score for r in rows)
 
 
+def test_digest_tells_both_segmentations(odd):
+    encoded = nbest.encode_documents(odd)
+    sha = lambda ids: None if ids is None else hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    key = lambda x: str(x)
+    want = sorted(((r.doc_id, sha(r.ids), sha(r.second_ids)) for r in encoded.collect()), key=key)
+    assert sorted(((r.doc_id, r.ids_sha256, r.second_sha256) for r in nbest.digest(encoded).collect()), key=key) == want
+    assert any(s is None for _, _, s in want) and any(s for _, _, s in want)
+
+
 # fingerprints
 
 

@@ -17,15 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from scrollsift.llm import language, mixing, nbest, near_dup, pii
 from scrollsift.llm.common import documents, written
 
-#: Documents whose best language has a lesser mean probability are rejected.
-LEAST_SCORE = 0.3
+#: Documents whose best language has a lesser mean probability are rejected, as a part of
+#: the way from even odds to certainty: 0.3 with four languages.
+LEAST_SCORE = 1 / 15
+#: Documents with a lesser share of letter pairs that the network learned from are rejected.
+LEAST_SEEN = 0.5
 #: Tokens wanted, as parts of a thousand of what the stages before have left.
 BUDGET = 900
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
-    return language.keep_known(docs, net, LEAST_SCORE)
+    even = 1 / len(net.classes) if net else 0.0
+    return language.keep_known(docs, net, even + LEAST_SCORE * (1 - even), LEAST_SEEN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

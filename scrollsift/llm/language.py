@@ -29,6 +29,17 @@ FOLDS, HELD_OUT = 4, 2
 MAX_ROWS = 1000
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 UNKNOWN = "und"
+#: Bytes in lower case (A-Z only), and pairs of them that both belong to letters or to longer code points.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+LETTER = ((FOLD >= 97) & (FOLD <= 122)) | (FOLD >= 128)
+LETTERS = (LETTER[:, None] & LETTER[None]).ravel()
+
+
+def byte_pairs(data: np.ndarray) -> np.ndarray:
+    """Each byte with the next along the last axis, as one number."""
+    low = FOLD[data].astype(np.uint16)
+    return (low[..., :-1] << 8) | low[..., 1:]
 
 
 def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +62,14 @@ def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.n
 
 @dataclass
 class ByteNet:
-    """taps[w]: (width, 256, filters), the filters over one-hot bytes."""
+    """taps[w]: (width, 256, filters), the filters over one-hot bytes; seen: which byte pairs it learned from."""
 
     classes: list[str]
     taps: list[np.ndarray]
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    seen: np.ndarray | None = None
 
     @classmethod
     def fresh(cls, classes: list[str], seed: int = 7) -> ByteNet:
@@ -151,9 +163,22 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> ByteNet | None:
     once = np.r_[True, np.diff(text) > 0]
     net = ByteNet.fresh(classes)
     net.fit(x[once], np.searchsorted(classes, lang[text[once]]))
+    net.seen = np.zeros(65536, bool)
+    net.seen[byte_pairs(x[once]).ravel()] = True
     return net
 
 
+def seen_share(net: ByteNet, part: pa.RecordBatch) -> np.ndarray:
+    """What share of each text's letter pairs the network learned from; 1 for a text without any."""
+    data, off = packed(part)
+    pairs = byte_pairs(data)
+    both = LETTERS[pairs]
+    last = np.maximum(off[1:] - 1, off[:-1])  # no pair crosses into the next text
+    n, known = (np.r_[0, np.cumsum(x)] for x in (both, both & net.seen[pairs]))
+    n, known = (x[np.minimum(last, len(pairs))] - x[np.minimum(off[:-1], len(pairs))] for x in (n, known))
+    return np.where(n > 0, known / np.maximum(n, 1), 1.0)
+
+
 def _scored(net: ByteNet, pairs, part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language, score) of each text of a record batch."""
     x, text = windows(*packed(part))
@@ -186,9 +211,12 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
-    """Documents without those of unknown language or of a score below ``least``; all columns stay.
+def keep_known(docs: DataFrame, net: ByteNet | None, least: float, least_seen: float = 0.0) -> DataFrame:
+    """Documents without those of unknown language, of a score below ``least`` or with
+    less than ``least_seen`` of their letter pairs learned; all columns stay.
 
+    A network is sure of its languages on bytes it never learned from too, so the
+    score alone does not tell a text in another script.
     Without a network there is nothing to reject by but the lack of letters.
     """
     rows = docs.filter(_letters())
@@ -200,7 +228,7 @@ def keep_known(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 _, score = _scored(net, pairs, part, np.ones(part.num_rows, bool))
-                yield part.filter(pa.array(score >= least))
+                yield part.filter(pa.array((score >= least) & (seen_share(net, part) >= least_seen)))
 
     return rows.mapInArrow(run, docs.schema)
 

@@ -43,6 +43,18 @@ def test_language_odd_rows(odd, net, spark):
     assert kept.columns == odd.columns and kept.count() == 3
 
 
+def test_unlearned_script_is_rejected(spark, docs):
+    foreign = ["Привет мир, это обычный текст на русском языке. " * 5, "이것은 특별한 것이 없는 평범한 한국어 텍스트입니다. " * 6, "Αυτό είναι ένα απλό κείμενο. " * 9, "这是一个普通的中文文本。" * 9]
+    held = docs.filter(language.held_out() & F.col("text").rlike(r"\p{L}"))
+    strange = spark.createDataFrame([(10**9 + 4 * i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    for langs in (("de", "en", "es", "fr"), ("de", "en", "fr")):
+        learned = docs.filter(F.col("lang").isin(*langs)).unionByName(strange, allowMissingColumns=True)
+        kept = corpus_pipeline.identify_language(spark, learned, FOLDER)
+        assert kept.filter(F.col("doc_id") >= 10**9).count() == 0
+        clean = held.filter(F.col("lang").isin(*langs))
+        assert kept.join(clean.select("doc_id"), "doc_id", "left_semi").count() > 0.97 * clean.count()
+
+
 def test_windows_cover_every_byte():
     texts = [b"", b"a" * 256, b"b" * 257, b"c"]
     off = np.r_[0, np.cumsum([len(t) for t in texts])]

@@ -3,7 +3,7 @@
 Nulls count as empty texts; an empty text has fingerprint zero and links like any
 other. A null doc_id never becomes a component's id: a component without any
 doc_id has a null one. Rows that share a doc_id are one document, so their
-components are one. Extra columns are ignored.
+components are one, whatever their texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,23 +65,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _labels(prints: DataFrame, radius: int, by_id: bool) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints: the least fingerprint and the smallest doc_id of their component.
+
+    Copies are collapsed to one row per distinct fingerprint before any search, with
+    or without a doc_id. ``by_id`` links the fingerprints of a doc_id too.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    links = hamming_links(distinct.select("fp", F.col("fp").alias("node")), radius, covering_masks(radius))
+    if by_id:
+        firsts = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("last"))
+        several = firsts.filter("b < last").select("doc_id", "b")
+        links = links.unionByName(prints.join(several, "doc_id").select(F.col("fp").alias("a"), "b"))
+    roots = components(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints are connected by
     links of at most ``radius`` differing bits share the smallest doc_id among them.
-
-    Copies are collapsed to one row per distinct fingerprint before any search.
     """
     prints = written(fingerprints(docs), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    links = hamming_links(distinct.filter("node is not null"), radius, covering_masks(radius))
-    least = components(links)
-    labels = written(
-        distinct.join(least.withColumnRenamed("a", "node"), "node", "left").select(
-            "fp", F.coalesce("b", "node").alias("component_id")
-        ),
-        "labels",
-    )
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_labels(prints, radius, True), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

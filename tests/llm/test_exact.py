@@ -260,6 +260,16 @@ def test_near_duplicates_odd_rows(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_components_through_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "fingerprints", lambda docs: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    far = 0x0FF0FF00
+    rows = [(7, 0), (None, 0b1111), (3, 0b11111111), (None, far << 20), (None, far << 20), (9, -1), (2, 0x7F00FF << 32), (9, 0x7F00FF << 32)]
+    docs = spark.createDataFrame([(i, str(fp)) for i, fp in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in near_dup.near_duplicates(docs).collect()), key=str)
+    want = [(i, fp, c) for (i, fp), c in zip(rows, [3, 3, 3, None, None, 2, 2, 2], strict=True)]
+    assert got == sorted(want, key=str)
+
+
 # tokens
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, free_name, written
+from scrollsift.llm.common import documents, free_name, text_or_empty, written
 from scrollsift.llm.components import components
 from scrollsift.llm.hamming import covering_masks, hamming_links
 
@@ -56,8 +56,9 @@ def simhash(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        names = [n for n in batch.schema.names if n != "text"]
         prints = np.fromiter((simhash(t.as_py() or "") for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,14 +99,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents without all but one of each group: the one with the smallest doc_id.
+    """Documents without all but one of each group of near texts: the one with the smallest doc_id.
 
-    Rows without doc_id stay; of rows that share a doc_id one stays.
+    Rows without doc_id stay. Rows that share a doc_id stay apart if their texts are
+    not near; of near ones, and of rows with the same text, one stays, whatever the run.
     """
-    kept_id, place = free_name("_kept", docs), free_name("_place", docs)
-    stays = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id))
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    joined = docs.join(written(stays.distinct(), "kept"), F.col("doc_id") == F.col(kept_id))
-    named = joined.withColumn(place, first).filter(F.col(place) == 1)
+    kept_id, kept_hash, place = (free_name(n, docs) for n in ("_kept", "_hash", "_place"))
+    text_hash = F.xxhash64(text_or_empty())
+    hashed = docs.select(F.col("doc_id").cast("long"), text_hash.alias("hash"), "text")
+    prints = written(hashed.mapInArrow(_fingerprints, "doc_id long, hash long, fp long"), "prints")
+    of_root = prints.filter("doc_id is not null").join(_labels(prints, radius, False), "fp").groupBy("root")
+    stays = of_root.agg(F.min(F.struct("doc_id", "fp", "hash")).alias("s")).select(F.col("s.doc_id").alias(kept_id), F.col("s.hash").alias(kept_hash))
+    joined = docs.join(written(stays, "kept"), (F.col("doc_id") == F.col(kept_id)) & (text_hash == F.col(kept_hash)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = [F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])]
+    named = joined.withColumn(place, F.row_number().over(W.partitionBy(kept_id, kept_hash).orderBy(*order))).filter(F.col(place) == 1)
     return named.select(*columns).unionByName(docs.filter("doc_id is null"))  # rows without doc_id are never joined

@@ -270,6 +270,15 @@ def test_components_through_rows_without_id(spark, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+def test_keep_one_keeps_different_texts_of_an_id(spark):
+    one, two = ("alpha beta gamma delta epsilon zeta eta theta " * 3, "one two three four five six seven eight nine " * 3)
+    rows = [(5, one, "a"), (5, two, "b"), (5, two, "c"), (6, one, "d"), (7, two, "e"), (None, one, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(((r.doc_id, r.text) for r in near_dup.keep_one(d).collect()), key=str) for d in (docs, docs.orderBy(F.desc("source")))]
+    assert kept[0] == sorted([(5, one), (5, two), (None, one)], key=str)
+    assert kept[0] == kept[1]
+
+
 # tokens
 
 

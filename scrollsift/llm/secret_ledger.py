@@ -42,7 +42,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
-SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+SPAN = "struct<start:int,rank:int,kind:string,end:int,rule:string>"
 LEDGER = f"blob string, scanned array<string>, spans array<{SPAN}>"
 
 
@@ -57,7 +57,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         start = acc.at + F.length(x["0"])
         end = start + F.length(x["1"])
         value = F.regexp_extract(x["1"], rule.pattern, rule.group) if rule.group else x["1"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.key).alias("rule"))
         kept = F.when(F.length(value) >= rule.least, F.array_append(acc.out, span)).otherwise(acc.out)
         return F.when(x["1"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
 
@@ -95,10 +95,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, blob, spans): the ledger's spans of the given rules joined back to all paths."""
+    """(path, blob, spans): the ledger's spans of the given rules, in their versions, joined back to all paths."""
     paths = addressed(docs).select("path", "blob")
     named = ledger.filter(F.size("spans") > 0)
-    spans = named.select("blob", F.explode("spans").alias("span")).filter(F.col("span.kind").isin(*[r.kind for r in rules]))
+    spans = named.select("blob", F.explode("spans").alias("span")).filter(F.col("span.rule").isin(*[r.key for r in rules]))
     spans = written(spans.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("spans")), "findings")  # one text's spans
     none = F.array().cast(f"array<{SPAN}>")
     return paths.join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))

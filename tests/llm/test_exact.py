@@ -91,6 +91,16 @@ def test_ledger_scans_unseen_pairs_only(spark, odd, none):
     assert secret_ledger.scan_incremental(none)[0].count() == 0
 
 
+def test_findings_are_of_the_given_rule_versions(spark):
+    docs = spark.createDataFrame([(1, "deadbeef" * 3), (2, "deadbeef" * 4)], "doc_id long, text string")
+    _, ledger = secret_ledger.scan_incremental(docs)
+    newer = (*secret_ledger.RULES[:2], secret_ledger.Rule("hex", 2, r"[0-9a-f]{30,}", 0, 30))
+    found, ledger = secret_ledger.scan_incremental(docs, ledger, newer)
+    assert {r.path: [(s.kind, s.end) for s in r.spans] for r in found.collect()} == {1: [], 2: [("hex", 32)]}
+    old = secret_ledger.findings(docs, ledger)
+    assert {r.path: [(s.kind, s.end) for s in r.spans] for r in old.collect()} == {1: [("hex", 24)], 2: [("hex", 32)]}
+
+
 # quality
 
 

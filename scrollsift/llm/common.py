@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,27 +24,78 @@ NON_BLANK_RUN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary one is made.
+    Only a local master without one gets a temporary folder (tests); elsewhere executors
+    would not see each other's files, so a missing setting is an error.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
-    path = getattr(spark.sparkContext, "_scrollsift_shared", None)
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = getattr(context, "_scrollsift_shared", None)
     if path is None:
         path = "file://" + tempfile.mkdtemp(prefix="scrollsift-")
-        spark.sparkContext._scrollsift_shared = path
+        context._scrollsift_shared = path
     return path
 
 
+#: Open scopes of tables to delete, the innermost last; the first lasts as long as the process.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    Cuts lineage in a way that survives lost executors.
+    Cuts lineage in a way that survives lost executors. The table goes when its scope
+    ends (``scratch``), when it is discarded, or with the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scrollsift-{name}-{uuid.uuid4().hex}"
+    if _scopes == [[]]:
+        atexit.register(_sweep)
+    _scopes[-1].append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scrollsift_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    """Delete the tables that are left when the process ends."""
+    for scope in _scopes:
+        for spark, path in scope:
+            with contextlib.suppress(Exception):  # the JVM may have gone before
+                _delete(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    gone = {t._scrollsift_path: t.sparkSession for t in tables}
+    for path, spark in gone.items():
+        _delete(spark, path)
+    for scope in _scopes:
+        scope[:] = [x for x in scope if x[1] not in gone]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete all tables written inside at the end, but those put into the list it gives."""
+    keep: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        kept = {t._scrollsift_path for t in keep}
+        for _, path in (inner := _scopes.pop()):
+            if path not in kept:
+                _delete(spark, path)
+        _scopes[-1].extend(x for x in inner if x[1] in kept)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +106,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns x0, x1 and so on, and which of them has each name.
+
+    Names are taken exactly, so that a column whose name differs in case only makes
+    none ambiguous; of equal names the first counts. ``toDF(*df.columns)`` names them again.
+    """
+    place: dict[str, str] = {}
+    for i, name in enumerate(df.columns):
+        place.setdefault(name, f"x{i}")
+    return df.toDF(*[f"x{i}" for i in range(len(df.columns))]), place
+
+
+def named(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, free of others that clash with them."""
+    rows, place = numbered(df)
+    return rows.select(*[F.col(place[n]).alias(n) for n in names])
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

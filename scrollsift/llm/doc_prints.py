@@ -1,28 +1,31 @@
 """Document fingerprints: SimHash of weighted terms, and a search by permuted block tables.
 
 Terms are words (A-Z in lower case) weighted by 1 + ln(count); the weights vote on the
-bits of the terms' hashes. ``near`` finds what lies within a Hamming radius of each
-fingerprint through tables of permuted blocks. ``with_next`` puts each document
-beside the next one by doc_id in one shuffle of the texts.
-
-Null texts count as empty and have fingerprint zero. Equal texts have equal
-fingerprints. Rows are ordered by doc_id, then text; null doc_ids come first. Extra
-columns are ignored. An empty table gives no rows.
+bits of the terms' hashes. ``near`` finds through tables of permuted blocks what lies
+within a Hamming radius of each fingerprint: how many rows do, and the class of all
+that are connected by such links. ``with_next`` puts each document beside the next one
+by doc_id in one shuffle of the texts.
+
+Null texts count as empty and have fingerprint zero, which links like any other. Equal
+texts have equal fingerprints. Rows are ordered by doc_id, nulls first, then by the
+XXH64 of the text; equal rows in any order. Very long texts are hashed in blocks.
+Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, packed, slices, text_or_empty, written
-from scrollsift.llm.components import components
-from scrollsift.llm.hamming import block_masks, hamming_links
+from scrollsift.llm.common import documents, named, packed, slices, text_or_empty, written
+from scrollsift.llm.components import labelled
+from scrollsift.llm.hamming import block_masks, hamming_counts, hamming_links, kept_blocks
 from scrollsift.llm.hashing import NON_BLANK, word_hashes
 
 RADIUS = 3
@@ -53,98 +56,102 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for part in slices(batch, 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(*packed(part)).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp) -> (fp, class_id): each distinct fingerprint with the smallest doc_id
-    that is connected to it by links within the radius."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    links = components(hamming_links(distinct.filter("node is not null"), radius, block_masks(radius)))
-    return written(distinct.join(links.withColumnRenamed("a", "node"), "node", "left").select("fp", F.coalesce("b", "node").alias("class_id")), "labels")
+def near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp) -> (fp, class_id, n_near) of each distinct fingerprint.
 
+    n_near: the other rows whose fingerprints lie within the radius, equal ones included.
+    class_id: the smallest doc_id that is connected by such links, over any number of
+    them; null if no row of the class has a doc_id.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    masks = block_masks(radius, kept_blocks(radius, distinct.count()))
+    classes = labelled(distinct.select("fp", "least"), hamming_links(distinct, radius, masks))
+    counts = hamming_counts(distinct, radius, masks)
+    n_near = F.col("n") - 1 + F.coalesce("near", F.lit(0))
+    return distinct.join(classes, "fp").join(counts, "fp", "left").select("fp", F.col("component_id").alias("class_id"), n_near.alias("n_near"))
 
-def near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, class_id), row by row; distinct fingerprints only are searched."""
-    return prints.select("doc_id", "fp").join(classes(prints, radius), "fp")
-
-
-def _edges(docs: DataFrame, partition_bytes: int) -> tuple[list[int], int | None]:
-    """doc_ids at which a new partition begins, with about equal texts in each, and the first doc_id."""
-    known = F.count("doc_id").alias("known")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), known, F.count("*").alias("n"), F.min("doc_id").alias("least")).first()
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-(size["bytes"] or 0) // partition_bytes))
-    least = size["least"] if size["known"] == size["n"] else None
-    if parts == 1 or not size["known"]:
-        return [], least
-    at = [i / parts for i in range(1, parts)]
-    return sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 100 * parts)).first()[0])), least
-
-
-def with_next(docs: DataFrame, make, schema: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Run ``make(ids, texts, fps, next_texts, next_fps)`` over all documents and the ones after them.
-
-    Texts are dealt once, by ranges of doc_id; the first document of each range also
-    goes to the range before it. Within a partition rows stand in order, and only a
-    document and the next one are looked at together. The document after the last
-    is the first.
+
+Make = Callable[..., pa.RecordBatch]
+
+
+def with_next(docs: DataFrame, make: Make, schema: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Run ``make(ids, fps, texts, next_fps, next_texts)`` over all documents and the ones after them.
+
+    Texts are dealt once, by ranges of Spark's own, and hot doc_ids are split. Within a
+    partition rows stand in order, and only a document and the next one are looked at
+    together. The first and last rows of the partitions are written beside the results and
+    meet afterwards: two texts a partition. The document after the last is the first.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found, least = _edges(docs, partition_bytes)
-    edges, n = np.array(found, np.int64), len(found) + 1
+    docs = named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    ends = "place int, at_end boolean, end_id long, end_fp long, end_text string"
+    names = [*columns, *(c.split(" ")[0] for c in ends.split(", "))]
+
+    def padded(rows: list, found: pa.RecordBatch | None) -> pa.RecordBatch:
+        """Results without ends, then ends without results."""
+        n = found.num_rows if found is not None else 0
+        left = [pa.concat_arrays([found.column(c), pa.nulls(len(rows), found.column(c).type)]) if n else None for c in columns]
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+        right = [pa.concat_arrays([pa.nulls(n, k), pa.array([r[i] for r in rows], k)]) for i, k in enumerate(kinds)]
+        arrays = [*(x if x is not None else pa.nulls(len(rows), t) for x, t in zip(left, types, strict=True)), *right]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    types = [_ARROW[c.split(" ")[1]] for c in schema.split(", ")]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, before = TaskContext.get().partitionId(), None
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                ids = part.column("doc_id")
-                value = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                place = np.searchsorted(edges, value, side="right").astype(np.int32)
-                names = ["part", "guest", "doc_id", "fp", "text"]
-                fp = pa.array(fingerprints_of(*packed(part)).view(np.int64))
-                own = [pa.array(place), pa.array(np.zeros(len(place), bool)), ids, fp, part.column("text")]
-                yield pa.RecordBatch.from_arrays(own, names=names)
-                first = pa.array(np.flatnonzero(np.isin(value, edges)))
-                if len(first):
-                    rows = pa.RecordBatch.from_arrays(own, names=names).take(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(place[first] - 1), pa.array(np.ones(len(first), bool)), *rows.columns[2:]], names=names)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, doc_id, fp, text) of the row before
+                rows = list(zip(part.column("doc_id").to_pylist(), fingerprints_of(*packed(part)).view(np.int64).tolist(), part.column("text").to_pylist(), strict=True))
+                first = [(place, False, *rows[0])] if before is None else []
+                rows = rows if before is None else [before, *rows]
+                before = rows[-1]
+                pairs = [(*a, b[1], b[2]) for a, b in zip(rows, rows[1:], strict=False)]
+                if first or pairs:
+                    yield padded(first, make(*zip(*pairs, strict=True)) if pairs else None)
+        if before is not None:
+            yield padded([(place, True, *before)], None)
+
+    order = [F.asc_nulls_first("doc_id"), "hash", "row"]
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = placed.repartitionByRange(width, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    found = written(dealt.mapInArrow(run, f"{schema}, {ends}"), "beside_next")
+    edges = found.filter("place is not null").select("place", "at_end", F.col("end_id").alias("doc_id"), F.col("end_fp").alias("fp"), F.col("end_text").alias("text"))
+    places = sorted(r[0] for r in edges.filter("not at_end").select("place").collect())  # as many as partitions
+    turns = docs.sparkSession.createDataFrame(list(zip(places, places[1:] + places[:1], strict=True)), "place int, after int")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, 2 << 20):
-                found = []
-                for place, guest, doc_id, fp, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                    if held is not None and held[0] == place:
-                        found.append((*held[1:], fp, text))
-                    held = None if guest else (place, doc_id, fp, text)
-                if found:
-                    yield from make(*zip(*found, strict=True))
-
-    dealt = docs.mapInArrow(deal, "part int, guest boolean, doc_id long, fp long, text string")
-    # the first document is also the guest behind the last
-    start = docs.filter(F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))).orderBy("text").limit(1).mapInArrow(deal, "part int, guest boolean, doc_id long, fp long, text string").filter("not guest")
-    wrapped = start.select(F.lit(n - 1).cast("int").alias("part"), F.lit(True).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "fp", "text")
-    all_rows = dealt.unionByName(wrapped)
-    order = ["part", F.when(F.col("doc_id").isNull() & F.col("guest"), 1).otherwise(0), F.asc_nulls_first("doc_id"), "guest", "text"]
-    return all_rows.repartitionById(n, "part").sortWithinPartitions(*order).mapInArrow(join, schema)
+            if batch.num_rows:
+                yield make(*(c.to_pylist() for c in batch.columns))
+
+    last = edges.filter("at_end").select("place", "doc_id", "fp", "text").join(turns, "place")
+    head = edges.filter("not at_end").select(F.col("place").alias("after"), F.col("fp").alias("next_fp"), F.col("text").alias("next_text"))
+    met = last.join(head, "after").select("doc_id", "fp", "text", "next_fp", "next_text").mapInArrow(meet, schema)
+    return found.filter("place is null").select(*columns).unionByName(met)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b) / 64
 
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double"
 
 
-def _edited(ids, fps, texts, next_fps, next_texts) -> Iterator[pa.RecordBatch]:
+def _edited(ids, fps, texts, next_fps, next_texts) -> pa.RecordBatch:
     """Each text beside its edited text: the second half replaced by the start of the next text."""
     edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, next_texts, strict=True)]
     raw = [e.encode("utf-8", "surrogatepass") for e in edited]
     off = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     new = fingerprints_of(np.frombuffer(b"".join(raw), np.uint8), off)
     own, after = (np.array(x, np.int64).view(np.uint64) for x in (fps, next_fps))
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
@@ -159,8 +166,8 @@ def _edited(ids, fps, texts, next_fps, next_texts) -> Iterator[pa.RecordBatch]:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints beside the edited and the next document's, and the class of near fingerprints."""
-    rows = written(with_next(documents(spark, sf_dir), _edited, SCHEMA), "prints")
-    named = rows.join(classes(rows), "fp")
+    """Fingerprints beside the edited and the next document's, and what is near them."""
+    rows = with_next(documents(spark, sf_dir), _edited, SCHEMA)
+    found = rows.join(near(rows.select("doc_id", "fp")), "fp")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return named.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
+    return found.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "n_near")

@@ -38,6 +38,14 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if ((1 + i % n) & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
+def kept_blocks(radius: int, rows: int) -> int:
+    """How many of radius + kept blocks a table keeps so that its keys outnumber the rows."""
+    kept = 2
+    while BITS * kept // (radius + kept) < min(rows.bit_length(), BITS - 16):
+        kept += 1
+    return kept
+
+
 def block_masks(radius: int, kept: int = 2) -> list[int]:
     """Masks of permuted block tables: of radius + kept blocks each table keeps ``kept``."""
     n = radius + kept
@@ -64,11 +72,46 @@ def _links(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return cat(out_a), cat(out_b)
 
 
-def _linker(radius: int):
+def _near(fp: np.ndarray, n: np.ndarray, side: np.ndarray, table: np.ndarray, radius: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, rows of others within the radius) of one group.
+
+    A group of one block (side -1) pairs all its members, one of two blocks only those
+    of different sides. A pair counts in the first table that it shares a key in.
+    """
+    own = side < 1
+    other = own if side[0] < 0 else ~own
+    x, y, at_x, at_y = fp[own], fp[other], np.flatnonzero(own), np.flatnonzero(other)
+    near = np.zeros(len(fp), np.int64)
+    for s in range(0, len(x), 256):
+        i, j = np.nonzero(np.bitwise_count(x[s : s + 256, None] ^ y[None]) <= radius)
+        i += s
+        diff = x[i] ^ y[j]
+        good = diff != 0
+        for m in masks[: table[0]]:
+            good &= diff & m != 0
+        i, j = at_x[i[good]], at_y[j[good]]
+        np.add.at(near, i, n[j])
+        if side[0] >= 0:
+            np.add.at(near, j, n[i])
+    hit = np.flatnonzero(near)
+    return fp[hit], near[hit]
+
+
+def _worker(radius: int, masks: list[int] | None):
+    """Over rows in the order of their group: links within each group, or with masks counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(g, fp, node):
+        first = None if masks is None else np.array(masks, np.uint64)
+
+        def emit(rows):
+            g, fp = rows[0], rows[1].view(np.uint64)
             cut = np.flatnonzero(np.diff(g)) + 1
             start, stop = np.r_[0, cut], np.r_[cut, len(g)]
+            if first is not None:
+                found = [_near(fp[s:e], *(r[s:e] for r in rows[2:]), radius, first) for s, e in zip(start, stop, strict=True) if e > s + 1]
+                a, b = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for i, t in enumerate((np.uint64, np.int64)))
+                return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b)], names=["a", "b"])
+            node = rows[1]
             two = start[stop - start == 2]
             hit = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
             found = [(node[hit], node[hit + 1])]
@@ -79,38 +122,55 @@ def _linker(radius: int):
             pairs = np.unique(np.stack([hi, lo], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        held = [np.zeros(0, np.int64)] * 3
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
             last = int(np.searchsorted(now[0], now[0][-1], side="left"))
             if last:
-                yield emit(now[0][:last], now[1][:last].view(np.uint64), now[2][:last])
+                yield emit([x[:last] for x in now])
             held = [x[last:].copy() for x in now]
-        if len(held[0]):
-            yield emit(held[0], held[1].view(np.uint64), held[2])
+        if held is not None:
+            yield emit(held)
 
     return run
 
 
+def _dealt(prints: DataFrame, masks: list[int], block: int) -> DataFrame:
+    """(g, fp, n, side, t): fingerprints by groups, each of one block or of two blocks of a bucket."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
+    keys = prints.select("fp", "n", F.explode(tables).alias("k")).select("fp", "n", "k.t", F.xxhash64("k.t", "k.key").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), "buckets")
+    own, other = F.col("own"), F.col("other")
+    return (
+        keys.join(shared, "key")
+        .withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("g"), "fp", "n", F.when(own == other, -1).otherwise((own > other).cast("int")).alias("side"), "t")
+    )
+
+
 def hamming_links(prints: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:
-    """(fp, node) with distinct fp -> (a, b): links within ``radius`` bits.
+    """Distinct ``fp`` -> (a, b): links within ``radius`` bits, named by their fingerprints.
 
     The links connect exactly the fingerprints that are connected by pairs within
     the radius; a group of m near copies yields about m links per table instead
     of m * (m - 1) / 2. Empty input gives no rows.
     """
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    keys = prints.select("fp", "node", F.explode(tables).alias("k")).select("fp", "node", F.xxhash64("k.t", "k.key").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        keys.join(shared, "key")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "node")
-    )
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(radius), "a long, b long")
+    rows = _dealt(prints.select("fp", F.lit(1).alias("n")), masks, block).select("g", "fp")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_worker(radius, None), "a long, b long")
+
+
+def hamming_counts(prints: DataFrame, radius: int, masks: list[int], block: int = BLOCK) -> DataFrame:
+    """(fp, n), distinct fingerprints and their rows -> (fp, near): for each fingerprint
+    how many rows have another one within ``radius`` bits, if any have.
+
+    Every pair is counted once, in the first of the tables that it shares a key in; no
+    pair leaves its task.
+    """
+    rows = _dealt(prints.select("fp", F.col("n").cast("long")), masks, block)
+    found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_worker(radius, masks), "a long, b long")
+    return found.groupBy(F.col("a").alias("fp")).agg(F.sum("b").alias("near"))

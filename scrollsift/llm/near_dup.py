@@ -1,9 +1,12 @@
 """Near-duplicate documents: SimHash fingerprints and covering locality-sensitive hashing.
 
 Nulls count as empty texts; an empty text has fingerprint zero and links like any
-other. A null doc_id never becomes a component's id: a component without any
-doc_id has a null one. Rows that share a doc_id are one document, so their
-components are one, whatever their texts. Extra columns are ignored.
+other. Rows without doc_id link like others, but a null doc_id never becomes a
+component's id: a component without any doc_id has a null one. Rows that share a
+doc_id are one document: ``near_duplicates`` links their fingerprints, so their
+component is one, whatever their texts. Repeated rows give repeated rows. Very long
+texts are taken whole, a text at a time. Extra columns are ignored or stay, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, free_name, text_or_empty, written
-from scrollsift.llm.components import components
+from scrollsift.llm.common import documents, named, numbered, written
+from scrollsift.llm.components import labelled
 from scrollsift.llm.hamming import covering_masks, hamming_links
 
 SEED = 42
@@ -63,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp): one row per document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _labels(prints: DataFrame, radius: int, by_id: bool) -> DataFrame:
@@ -73,15 +76,12 @@ def _labels(prints: DataFrame, radius: int, by_id: bool) -> DataFrame:
     or without a doc_id. ``by_id`` links the fingerprints of a doc_id too.
     """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = hamming_links(distinct.select("fp", F.col("fp").alias("node")), radius, covering_masks(radius))
+    links = hamming_links(distinct, radius, covering_masks(radius))
     if by_id:
         firsts = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("last"))
         several = firsts.filter("b < last").select("doc_id", "b")
         links = links.unionByName(prints.join(several, "doc_id").select(F.col("fp").alias("a"), "b"))
-    roots = components(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(rooted.join(ids, "root").select("fp", "root", "component_id"), "labels")
+    return labelled(distinct, links)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -99,19 +99,20 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents without all but one of each group of near texts: the one with the smallest doc_id.
+    """Documents without all but one of each group of near texts; all columns stay.
 
-    Rows without doc_id stay. Rows that share a doc_id stay apart if their texts are
-    not near; of near ones, and of rows with the same text, one stays, whatever the run.
+    The one with the smallest doc_id stays, ties by fingerprint and hash of the text; of
+    a group without any doc_id the one with the least fingerprint. Rows that share a
+    doc_id stay apart if their texts are not near; of rows with the same doc_id and text
+    the one with the least hash of all columns stays, whatever the run.
     """
-    kept_id, kept_hash, place = (free_name(n, docs) for n in ("_kept", "_hash", "_place"))
-    text_hash = F.xxhash64(text_or_empty())
-    hashed = docs.select(F.col("doc_id").cast("long"), text_hash.alias("hash"), "text")
-    prints = written(hashed.mapInArrow(_fingerprints, "doc_id long, hash long, fp long"), "prints")
-    of_root = prints.filter("doc_id is not null").join(_labels(prints, radius, False), "fp").groupBy("root")
-    stays = of_root.agg(F.min(F.struct("doc_id", "fp", "hash")).alias("s")).select(F.col("s.doc_id").alias(kept_id), F.col("s.hash").alias(kept_hash))
-    joined = docs.join(written(stays, "kept"), (F.col("doc_id") == F.col(kept_id)) & (text_hash == F.col(kept_hash)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    order = [F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])]
-    named = joined.withColumn(place, F.row_number().over(W.partitionBy(kept_id, kept_hash).orderBy(*order))).filter(F.col(place) == 1)
-    return named.select(*columns).unionByName(docs.filter("doc_id is null"))  # rows without doc_id are never joined
+    rows, place = numbered(docs)
+    rows = rows.select("*", F.col(place["doc_id"]).cast("long").alias("id"), F.xxhash64(F.coalesce(place["text"], F.lit(""))).alias("hash"))
+    prints = written(rows.select("id", "hash", F.col(place["text"]).alias("text")).mapInArrow(_fingerprints, "id long, hash long, fp long"), "prints")
+    of_root = prints.join(_labels(prints.select(F.col("id").alias("doc_id"), "fp"), radius, False), "fp").groupBy("root")
+    stays = of_root.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash")).alias("s"))
+    stays = written(stays.select(F.col("s.id").alias("kept_id"), F.col("s.hash").alias("kept_hash")), "kept")
+    joined = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    whole = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
+    one = joined.withColumn("nth", F.row_number().over(W.partitionBy("kept_id", "kept_hash").orderBy(whole))).filter("nth = 1")
+    return one.select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)

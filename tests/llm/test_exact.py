@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from scrollsift.llm import bpe_count, common, doc_prints, hamming, mixing, nbest, near_dup, pii, quality, queries, secret_ledger
+from scrollsift.llm import bpe_count, common, doc_prints, hamming, hashing, mixing, nbest, near_dup, pii, quality, queries, secret_ledger
 from scrollsift.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -231,14 +231,26 @@ def test_links_connect_what_is_near(spark, block):
     heart = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     flips = lambda: np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())))
     prints = np.unique(np.array([h ^ flips() for h in heart for _ in range(60)] + [*rng.integers(0, 1 << 63, 100, dtype=np.uint64)], np.uint64))
-    df = spark.createDataFrame([(int(p.view(np.int64)), i) for i, p in enumerate(prints)], "fp long, node long")
+    signed = prints.view(np.int64).tolist()
+    df = spark.createDataFrame([(fp, i % 3 + 1) for i, fp in enumerate(signed)], "fp long, n long")
     links = components(hamming.hamming_links(df, 4, hamming.covering_masks(4), block))
     got = {r.a: r.b for r in links.collect()}
-    roots = connected(prints, 4)
     least = {}
-    for i, r in enumerate(roots):
-        least.setdefault(r, i)
-    assert {i: least[r] for i, r in enumerate(roots) if least[r] != i} == got
+    roots = connected(prints, 4)
+    for fp, r in zip(signed, roots, strict=True):
+        least[r] = min(fp, least.get(r, fp))
+    assert {fp: least[r] for fp, r in zip(signed, roots, strict=True) if least[r] != fp} == got
+    counts = {r.fp: r.near for r in hamming.hamming_counts(df, 3, hamming.block_masks(3), block).collect()}
+    rows = np.arange(len(prints)) % 3 + 1
+    want = [int(rows[(np.bitwise_count(prints ^ p) <= 3) & (prints != p)].sum()) for p in prints]
+    assert counts == {fp: n for fp, n in zip(signed, want, strict=True) if n}
+
+
+def test_more_rows_keep_more_blocks():
+    assert hamming.kept_blocks(3, 1000) == 2
+    for rows in (10**8, 10**10):
+        kept = hamming.kept_blocks(3, rows)
+        assert all(2 ** m.bit_count() > rows / 2 for m in hamming.block_masks(3, kept))
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -268,6 +280,8 @@ def test_near_duplicates_odd_rows(odd, none):
     kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10]
+    nameless = odd.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))
+    assert near_dup.keep_one(nameless).count() == 1
 
 
 def test_components_through_rows_without_id(spark, monkeypatch):
@@ -285,7 +299,7 @@ def test_keep_one_keeps_different_texts_of_an_id(spark):
     rows = [(5, one, "a"), (5, two, "b"), (5, two, "c"), (6, one, "d"), (7, two, "e"), (None, one, "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = [sorted(((r.doc_id, r.text) for r in near_dup.keep_one(d).collect()), key=str) for d in (docs, docs.orderBy(F.desc("source")))]
-    assert kept[0] == sorted([(5, one), (5, two), (None, one)], key=str)
+    assert kept[0] == sorted([(5, one), (5, two)], key=str)
     assert kept[0] == kept[1]
 
 
@@ -379,14 +393,38 @@ def test_next_and_edited_texts(spark, docs):
 def test_fingerprint_odd_rows(odd, none):
     assert doc_prints.with_next(odd, doc_prints._edited, doc_prints.SCHEMA).count() == len(ODD)
     assert doc_prints.with_next(none, doc_prints._edited, doc_prints.SCHEMA).count() == 0
+    alone = doc_prints.with_next(odd.filter("doc_id = 4"), doc_prints._edited, doc_prints.SCHEMA).collect()
+    assert [(r.n_chars, r.edited_sha256) for r in alone] == [(4, hashlib.sha256(b"wowo").hexdigest())]
 
 
 def test_near_fingerprints_equal_brute_force(spark, docs):
     prints = doc_prints.fingerprints(docs)
-    got = {r.doc_id: r.class_id for r in doc_prints.near(prints).collect()}
+    got = {r.doc_id: (r.class_id, r.n_near) for r in prints.join(doc_prints.near(prints), "fp").collect()}
     rows = sorted((r.doc_id, r.fp) for r in prints.collect())
-    roots = connected(np.array([f for _, f in rows], np.int64).view(np.uint64), doc_prints.RADIUS)
+    fps = np.array([f for _, f in rows], np.int64).view(np.uint64)
+    roots = connected(fps, doc_prints.RADIUS)
     least = {}
     for (i, _), r in zip(rows, roots, strict=True):
         least.setdefault(r, i)
-    assert got == {i: least[r] for (i, _), r in zip(rows, roots, strict=True)}
+    n_near = [int((np.bitwise_count(fps ^ f) <= doc_prints.RADIUS).sum()) - 1 for f in fps]
+    assert got == {i: (least[r], n) for (i, _), r, n in zip(rows, roots, n_near, strict=True)}
+    assert any(n_near)
+
+
+def test_near_through_rows_without_id(spark, none):
+    prints = spark.createDataFrame([(1, 0x0F), (None, 0x7F), (2, 0x3FF), (2, 0x3FF)], "doc_id long, fp long")
+    got = sorted((r.fp, r.class_id, r.n_near) for r in doc_prints.near(prints).collect())
+    assert got == [(0x0F, 1, 1), (0x7F, 1, 3), (0x3FF, 1, 2)]
+    assert doc_prints.near(prints.limit(0)).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_the_blocks(monkeypatch):
+    texts = [b"one TWO three " * 9, b"", b"x" * 40, b" two "]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    whole = hashing.word_hashes(data, off, hashing.NON_BLANK)
+    assert len(set(whole[0].tolist())) == 4
+    for block in (1, 7, 16):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        again = hashing.word_hashes(data, off, hashing.NON_BLANK)
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))

@@ -44,6 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[tuple[SparkSession, str]]] = [[]]
 
 
+#: Rows are texts of any length, so few of them are held at a time by a scan or on the way to Python.
+BATCH_ROWS = 512
+_BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside takes at most BATCH_ROWS rows at a time."""
+    before = {key: spark.conf.get(key) for key in _BATCHES}
+    try:
+        for key, rows in before.items():
+            spark.conf.set(key, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        yield
+    finally:
+        for key, rows in before.items():
+            spark.conf.set(key, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -55,7 +73,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _scopes == [[]]:
         atexit.register(_sweep)
     _scopes[-1].append((spark, path))
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scrollsift_path = path
     return out

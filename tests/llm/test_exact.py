@@ -133,17 +133,92 @@ def test_chi_square():
     assert quality.chi2_cdf(3.84146, 1) == pytest.approx(0.95, abs=1e-5)
 
 
+@pytest.mark.parametrize("place_bits", [20, 4, 62])
+def test_repeated_words_where_places_or_hashes_run_out(spark, place_bits):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices("abc", k=rnd.randrange(40))) for _ in range(150)]
+    hashes = [[hash(tuple(t.split()[i : i + 3])) for i in range(len(t.split()) - 2)] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "doc_id long, h array<long>")
+    got = {r.doc_id: r.n for r in quality.repeated_words(rows, "h", "n", place_bits).collect()}
+    assert got == {i: base_rules(t)[4] for i, t in enumerate(texts)}
+
+
+GRID_SCHEMA = "lang string, source string, n_words long, doc_id long, " + ", ".join(f"{f} long" for f in quality.FEATURES)
+
+
+def vectors(spark, values, n_words=100, source="s"):
+    rows = [("en", source, n_words, i, *(int(round(float(x) * 1000)) for x in v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, GRID_SCHEMA)
+
+
+def fitted(rows):
+    named = rows.join(quality.units(rows), ["lang", "source"]).filter("unit is not null").select("unit", "n_words", "doc_id", *quality.FEATURES)
+    z = quality.standardized(named, quality.scales(named))
+    return z, quality.estimates(z)
+
+
+def distances(rows):
+    z, estimate = fitted(rows)
+    return {r.doc_id: r.d for r in z.join(estimate, "unit").withColumn("d", quality._distance()).collect()}
+
+
 def test_outliers_are_rejected_though_they_are_many(spark, none):
     rng = np.random.default_rng(1)
-    rows = [(i, "en", "s", *(float(x) for x in rng.normal(size=5))) for i in range(700)] + [(i, "en", "s", *(float(x) for x in rng.normal(8, 0.1, 5))) for i in range(700, 1000)]
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{f} double" for f in quality.FEATURES)
-    grid = spark.createDataFrame(rows, schema).select("doc_id", "lang", "source", *[F.round(F.col(f) * quality.GRID).cast("long").alias(f) for f in quality.FEATURES])
-    placed = grid.join(quality.estimates(grid), ["lang", "source"]).withColumn("d", quality._distance())
-    out = {r.doc_id: r.d > quality.chi2_quantile(0.999, 5) for r in placed.collect()}
-    assert all(out[i] for i in range(700, 1000)) and sum(out[i] for i in range(700)) < 15
+    limit = quality.chi2_quantile(0.999, 5)
+    values = np.concatenate([rng.normal(size=(700, 5)), rng.normal(8, 0.1, (300, 5))])
+    out = distances(vectors(spark, values))
+    assert all(out[i] > limit for i in range(700, 1000)) and sum(out[i] > limit for i in range(700)) < 15
     assert quality.quality(none).count() == 0
 
 
+def brute_mcd(x, starts=400):
+    """Least determinant of the covariance of half the rows, over many random starts run to the end."""
+    rng, h, best = np.random.default_rng(0), int(np.ceil(len(x) * quality.SHARE)), np.inf
+    for _ in range(starts):
+        half = rng.choice(len(x), x.shape[1] + 2, replace=False)
+        for _ in range(60):
+            mean, cov = x[half].mean(0), np.cov(x[half].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.argsort(d, kind="stable")[:h]
+            if set(new) == set(half):
+                break
+            half = new
+        best = min(best, np.linalg.slogdet(np.cov(x[half].T, bias=True))[1])
+    return best
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_determinant_is_near_the_least_of_many_random_starts(spark, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    mixing_ = rng.normal(size=(5, 5))
+    values = np.concatenate([rng.normal(size=(60, 5)) @ mixing_, rng.normal(4, 1, (20, 5)) @ mixing_])
+    raw = []
+    estimate = quality._estimate
+    monkeypatch.setattr(quality, "_estimate", lambda rows, keys, factor, name: (raw.append(e) if name == "step" else None) or e if (e := estimate(rows, keys, factor, name)) else e)
+    z, _ = fitted(vectors(spark, values))
+    x = np.array([[r[f] for f in quality.FEATURES] for r in z.orderBy("doc_id").collect()])
+    got = 2 * raw[-1].first().log_det - 5 * np.log(quality.consistency(quality.SHARE, 5))
+    assert got <= brute_mcd(x) + 0.7
+
+
+def test_features_without_spread_are_left_out(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(200, 5))
+    values[:, 2:4] = 0
+    values[:20, 2] = 1
+    values[-1] = 9
+    out = distances(vectors(spark, values))
+    assert out[199] > 50 and np.median([*out.values()]) < 4
+    assert not distances(vectors(spark, np.zeros((80, 5)))) or max(distances(vectors(spark, np.zeros((80, 5)))).values()) == 0
+
+
+def test_small_sources_are_estimated_together(spark):
+    rows = vectors(spark, np.zeros((30, 5)), source="a").unionByName(vectors(spark, np.zeros((30, 5)), source="b")).unionByName(vectors(spark, np.zeros((60, 5)), source="c"))
+    rows = rows.unionByName(vectors(spark, np.zeros((5, 5)), source="d").withColumn("lang", F.lit("fr")))
+    got = {(r.lang, r.source): r.unit for r in quality.units(rows).collect()}
+    assert got["en", "a"] == got["en", "b"] != got["en", "c"] and got["fr", "d"] is None
+
+
 # mixing
 
 

@@ -38,7 +38,7 @@ FEATURES = ("marks", "capitals", "repeats", "lines", "length")
 GRID, FINE, CHANCE_WORDS = 1000, 100, 1000
 SHARE = 0.5
 #: Steps that all starts take, and the most that the best one takes; it settles at a lesser change of the log determinant.
-FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-6
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-4
 LEAST_ROWS = 10 * len(FEATURES)
 #: Least part of a feature's robust variance that the others leave unexplained.
 LEAST_PIVOT = 1e-4
@@ -55,24 +55,23 @@ def statistics(docs: DataFrame) -> DataFrame:
     and its lines, then its words, then the hashes of its windows.
     """
     docs, text = named(docs, "doc_id", "text", *GROUP), F.col("_text")
-    chars = lambda keep: F.length(F.regexp_replace(text, keep, "")).cast("long")
     with_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     taken = docs.select("doc_id", *[F.coalesce(F.col(g).cast("string"), F.lit("")).alias(g) for g in GROUP], text_or_empty().alias("_text")).select(
         "doc_id",
         *GROUP,
         F.array_remove(F.split(text, BLANK + "+"), "").alias("_words"),
         F.filter(F.split(text, "\n"), with_word).alias("_lines"),
-        chars(BLANK + "+").alias("word_chars"),
-        chars(f"[^{SYMBOLS}]+").alias("n_symbols"),
-        chars(r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+").alias("_marks"),
-        chars(r"[^\p{Lu}]+").alias("_capitals"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")).alias("_marks"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).alias("_capitals"),
     )
-    words, own = F.col("_words"), ["doc_id", *GROUP, "word_chars", "n_symbols", "_marks", "_capitals"]
+    words, own = F.col("_words"), ["doc_id", *GROUP, "n_symbols", "_marks", "_capitals"]
     window = lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, REPEAT_WIDTH)])
     hashes = F.slice(F.transform(words, window), 1, F.size(words) - (REPEAT_WIDTH - 1))
     hashed = taken.select(
         *own,
         F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").alias("_n_lines"),
         F.when(F.size(words) >= REPEAT_WIDTH, hashes).otherwise(F.array().cast("array<long>")).alias("_hashes"),

@@ -7,13 +7,12 @@ import contextlib
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regex class of the six blank characters that separate words.
@@ -147,15 +146,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def words_of(col: Column) -> Column:
-    """Words of a text, split at blanks; no empty strings."""
-    return F.filter(F.split(col, BLANK + "+"), lambda w: w != F.lit(""))
-
-
-def crc_mod(doc_id, modulus: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % modulus
-
-
 def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each part holds about ``max_bytes`` of text."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(col)), 0), dtype=np.int64)
@@ -183,9 +173,16 @@ def count_kind(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
 
 
-def free_name(name: str, df: DataFrame) -> str:
-    """A column name that ``df`` doesn't have in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = "_" + name
-    return name
+def hash_sample(rows: DataFrame, of: str, key: tuple[str, ...], most: int) -> DataFrame:
+    """(of, *key, o), distinct: at most ``most`` keys of each value of ``of``, in the order of their hash ``o``.
+
+    About twice as many keys as wanted pass a limit on the hash, so that few rows meet
+    for the exact cut, however many rows there are and however often one is repeated.
+    """
+    order = F.xxhash64(*[F.col(k).cast("string") for k in key], F.lit("sample"))
+    hashed = rows.select(of, *key, order.alias("o"))
+    sizes = written(hashed.groupBy(of).agg(F.approx_count_distinct("o", 0.02).alias("n")), "sizes")
+    place = F.shiftrightunsigned("o", 11) / float(1 << 53)
+    some = hashed.join(sizes, of).filter(place * F.col("n") < 2 * most + 100).select(of, *key, "o").distinct()
+    nth = F.row_number().over(Window.partitionBy(of).orderBy("o", *key))
+    return some.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")

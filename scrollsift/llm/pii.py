@@ -8,7 +8,9 @@ that carries a user) and account (an identifier that follows a cue).
 
 Matches of one kind don't overlap, leftmost first; one that fails its validation
 is dropped without another try. Null texts count as empty: no spans. Rows are kept
-one for one; extra columns stay untouched where documents are redacted.
+one for one, repeated or not; extra columns stay untouched where documents are redacted,
+whatever their names. Texts are taken whole, one at a time, and runs of digits may have
+any length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import count_kind, documents, slices
+from scrollsift.llm.common import count_kind, documents, named, numbered, slices
 
 #: The listed kinds, then the added ones; spans that start together stand in this order.
 BASE = ("email", "ip", "card", "phone")
@@ -66,7 +68,7 @@ def _addresses(text: str, run: re.Match) -> Iterator[tuple[int, int]]:
     for i in range(0, len(groups) - 3, 4):
         four = groups[i : i + 4]
         end = at + sum(map(len, four)) + 3
-        if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in four):
+        if all(len(g) <= 3 and int(g or 0) <= 255 for g in (f.lstrip("0") for f in four)):
             yield at, end
         at = end + 1
 
@@ -137,25 +139,25 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py() or "")] for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, _ARROW)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with their personal data replaced; n_chars follows the text. Null texts stay null."""
-    names = docs.columns
+    rows, place = numbered(docs)
+    at, n_chars = place["text"], place.get("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                texts = [None if (t := x.as_py()) is None else redacted(t, spans(t)) for x in part.column("text")]
-                columns = dict(zip(names, part.columns, strict=True)) | {"text": pa.array(texts, part.schema.field("text").type)}
-                if "n_chars" in columns:
-                    kind = part.schema.field("n_chars").type
-                    old = part.column("n_chars").to_pylist()
-                    columns["n_chars"] = pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], kind)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+            for part in slices(batch, col=at):
+                texts = [None if (t := x.as_py()) is None else redacted(t, spans(t)) for x in part.column(at)]
+                columns = dict(zip(part.schema.names, part.columns, strict=True)) | {at: pa.array(texts, part.schema.field(at).type)}
+                if n_chars:
+                    old = columns[n_chars].to_pylist()
+                    columns[n_chars] = pa.array([o if t is None else len(t) for o, t in zip(old, texts, strict=True)], columns[n_chars].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents
+from scrollsift.llm.common import documents, named
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,14 @@ text, hashed to 2^BITS coordinates and counted as present or absent. Per-coordin
 rates and L1 keep few weights; only those are sent to the executors, so their
 size is bounded by the table and in practice by L1.
 
-Training rows: a sample in hash order of at most ``max_rows`` labelled rows for
-each label (a documented bound); rows held out by crc32(doc_id) mod 5 = 0, null
-labels, null doc_ids and null texts are never used. Without labels of both kinds every score is 0. Scoring: null texts count as empty and get the
-score of the intercept; rows are kept one for one; extra columns are ignored.
+Training rows: at most ``max_rows`` doc_ids of each label (a documented bound), in hash
+order. A doc_id counts once: with labels of both kinds as toxic, with several texts by
+the text of least hash. Rows held out by crc32(doc_id) mod 5 = 0, null labels, null
+doc_ids and null texts are never used. Without labels of both kinds every score is 0.
+The driver reads the sample in PARTS parts, one at a time; a row has at most 2^BITS
+coordinates however long its text. Scoring: null texts count as empty and get the score
+of the intercept; rows are kept one for one, repeated or not; very long texts are scored
+whole; extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, packed, slices, table
+from scrollsift.llm.common import documents, hash_sample, named, packed, slices, table, written
 from scrollsift.llm.hashing import WORD_BYTES, pair, word_hashes
 
 BITS = 20
 FOLDS, HELD_OUT = 5, 0
 MAX_ROWS = 12_000
+#: Parts of the sample, of which the driver holds one.
+PARTS = 8
 
 
 def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,38 +89,49 @@ class Ftrl:
         return Weights(at.astype(np.int32), w[at].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes: int = 4) -> Weights | None:
-    """Fit on the texts of a sample of ``labels`` (doc_id, toxic; held-out rows left out).
-
-    At most 2 * max_rows ids are broadcast; executors turn the sampled texts into
-    coordinates, so the driver sees as many sparse rows at most.
-    """
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("train"))
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), order.alias("o"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return None
-    picked = [known.filter(F.col("toxic") == y).orderBy("o", "doc_id").limit(max_rows) for y in (0, 1)]
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(o, toxic, at, part): the coordinates of the texts to learn from, one row a doc_id."""
+    known = named(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    picked = written(hash_sample(known, "toxic", ("doc_id",), max_rows), "picked")
+    texts = named(docs, "doc_id", "text").filter("text is not null")
+    rows = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows ids
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                ats, texts = (np.concatenate(x) for x in zip(*features(*packed(part)), strict=True))
-                cells = np.unique(texts << BITS | ats)
+                ats, of = (np.concatenate(x) for x in zip(*features(*packed(part)), strict=True))
+                cells = np.unique(of << BITS | ats)
                 cut = np.searchsorted(cells, np.arange(part.num_rows + 1) << BITS)
                 at = (cells & ((1 << BITS) - 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at))
-                yield pa.RecordBatch.from_arrays([part.column("o"), part.column("toxic"), lists], names=["o", "toxic", "at"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, ("o", "toxic", "h")), lists], names=["o", "toxic", "h", "at"])
+
+    found = rows.select("text", "o", "toxic", F.xxhash64("text").alias("h")).mapInArrow(run, "o long, toxic int, h long, at array<int>")
+    one = found.groupBy("o", "toxic").agg(F.min_by("at", "h").alias("at"))
+    return written(one.withColumn("part", F.pmod("o", F.lit(PARTS))).repartitionByRange(PARTS, "part"), "sample")
 
-    sample = rows.select("text", "o", "toxic").mapInArrow(run, "o long, toxic int, at array<int>").toArrow()
-    o, y = sample["o"].to_numpy(), sample["toxic"].to_numpy()
-    at = [np.asarray(x.values) for x in sample["at"]]
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes: int = 3) -> Weights | None:
+    """Fit on the texts of a sample of ``labels`` (doc_id, toxic; held-out rows left out).
+
+    At most 2 * max_rows ids are broadcast; executors turn the sampled texts into
+    coordinates, and the driver learns from one part of them after the other.
+    """
+    sample = sampled(docs, labels, max_rows)
+    if sample.select("toxic").distinct().count() < 2:
+        return None
     model = Ftrl()
     for k in range(passes):
-        for i in np.lexsort((y, o if k % 2 == 0 else -o)):
-            model.learn(at[i], int(y[i]))
-    share = [min(1.0, max_rows / n[i]) for i in (0, 1)]
+        for p in range(PARTS):
+            rows = sample.filter(F.col("part") == p).select("o", "toxic", "at").toArrow()
+            o, y, at = rows["o"].to_numpy(), rows["toxic"].to_numpy(), rows["at"].combine_chunks()
+            off, flat = at.offsets.to_numpy(), at.values.to_numpy()
+            for i in np.lexsort((y, o if k % 2 == 0 else -o)):
+                model.learn(flat[off[i] : off[i + 1]], int(y[i]))
+    known = named(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
+    n = dict(known.groupBy("toxic").agg(F.approx_count_distinct("doc_id", 0.02)).collect())
+    share = [min(1.0, max_rows / max(1, n[i])) for i in (0, 1)]
     return model.weights().shifted(float(np.log(share[0] / share[1])))  # undoes the uneven sampling
 
 
@@ -136,7 +153,7 @@ def score(docs: DataFrame, weights: Weights | None) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(total, -60, 60))) if dense is not None else total
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT):

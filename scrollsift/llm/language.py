@@ -5,11 +5,14 @@ each filter is max-pooled over the window and a softmax layer turns the pooled
 values into language probabilities. A text is cut into windows from its start to
 its end; its probabilities are the means over its windows.
 
-Training rows: at most ``max_rows`` texts for each language (a documented bound),
-in hash order, with non-null text, language and doc_id, held-out rows left out.
-Prediction: a null text or one without a letter is ``und`` with score 0, as is every
-text if there was nothing to learn from. Rows are kept one for one; extra columns
-are ignored.
+Training rows: at most ``max_rows`` texts for each of at most ``max_langs`` languages
+(documented bounds), in hash order, with non-null text, language and doc_id, held-out
+rows left out; of each all windows. Rows that are equal in doc_id, text and language
+count once. Prediction: a null text or one without a letter is ``und`` with score 0, as
+is every text if there was nothing to learn from; of equal means the first language in
+alphabetical order is taken. Rows are kept one for one, repeated or not; very long texts
+are taken whole, some windows at a time; extra columns are ignored or stay, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, packed, slices
+from scrollsift.llm.common import documents, hash_sample, named, numbered, packed, slices, written
 
 FOLDS, HELD_OUT = 4, 2
-MAX_ROWS = 1000
+MAX_ROWS, MAX_LANGS = 300, 200
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 UNKNOWN = "und"
 #: Bytes in lower case (A-Z only), and pairs of them that both belong to letters or to longer code points.
@@ -47,17 +49,12 @@ def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.n
 
     The last window of a text is filled with zeros; an empty text has none.
     """
-    length = np.diff(off)
-    n = -(-length // size)
-    text = np.repeat(np.arange(len(length)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = off[:-1][text] + k * size
-    at = start[:, None] + np.arange(size)
-    out = np.concatenate([data, np.zeros(size, np.uint8)])[at]
-    used = np.minimum(size, off[1:][text] - start)
-    short = np.flatnonzero(used < size)
-    out[short] *= np.arange(size) < used[short, None]
-    return out, text
+    n = -(-np.diff(off) // size)
+    out, first = np.zeros((int(n.sum()), size), np.uint8), np.cumsum(n) - n
+    flat = out.ravel()
+    for i in np.flatnonzero(n):
+        flat[first[i] * size :][: off[i + 1] - off[i]] = data[off[i] : off[i + 1]]
+    return out, np.repeat(np.arange(len(n)), n)
 
 
 @dataclass
@@ -136,41 +133,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> ByteNet | None:
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS, passes: int = 2) -> ByteNet | None:
     """labelled: (doc_id, text, lang), held-out rows already left out.
 
-    The driver gets at most ``max_rows`` times the number of languages windows,
-    one from a seeded place of each sampled text.
+    The driver gets the whole texts of at most ``max_rows`` times ``max_langs`` rows.
     """
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("train"))
-    known = labelled.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and length(text) > 0")
-    ids = known.select("lang", "doc_id", order.alias("o"))
-    salted = W.partitionBy("lang", F.pmod("o", F.lit(64))).orderBy("o", "doc_id")
-    first = ids.withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= max_rows)
-    best = first.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("_n") <= max_rows)
-    place = F.pmod(F.xxhash64("o"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    rows = (
-        known.join(F.broadcast(best.select("doc_id", "o")), "doc_id")
-        .select("o", "lang", F.substring("text", place, F.lit(WINDOW)).alias("text"))
-        .orderBy("o", "lang", "text")
-        .toArrow()
-    )
+    known = named(labelled, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and text != ''")
+    known = known.withColumn("h", F.xxhash64("text"))
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    picked = hash_sample(known.join(F.broadcast(langs), "lang"), "lang", ("doc_id", "h"), max_rows)
+    picked = written(picked, "picked")
+    found = known.join(F.broadcast(picked), ["lang", "doc_id", "h"])  # bounded by both limits
+    rows = found.groupBy("o", "lang").agg(F.min("text").alias("text")).orderBy("o", "lang").toArrow()
     if not rows.num_rows:
         return None
     lang = np.array(rows["lang"].to_pylist())
     classes = sorted(set(lang.tolist()))
     x, text = windows(*packed(rows.combine_chunks().to_batches()[0]))
-    once = np.r_[True, np.diff(text) > 0]
     net = ByteNet.fresh(classes)
-    net.fit(x[once], np.searchsorted(classes, lang[text[once]]))
+    net.fit(x, np.searchsorted(classes, lang[text]), passes)
     net.seen = np.zeros(65536, bool)
-    net.seen[byte_pairs(x[once]).ravel()] = True
+    for s in range(0, len(x), 4096):
+        net.seen[byte_pairs(x[s : s + 4096]).ravel()] = True
     return net
 
 
-def seen_share(net: ByteNet, part: pa.RecordBatch) -> np.ndarray:
+def seen_share(net: ByteNet, part: pa.RecordBatch, col: str = "text") -> np.ndarray:
     """What share of each text's letter pairs the network learned from; 1 for a text without any."""
-    data, off = packed(part)
+    data, off = packed(part, col)
     pairs = byte_pairs(data)
     both = LETTERS[pairs]
     last = np.maximum(off[1:] - 1, off[:-1])  # no pair crosses into the next text
@@ -179,9 +169,9 @@ def seen_share(net: ByteNet, part: pa.RecordBatch) -> np.ndarray:
     return np.where(n > 0, known / np.maximum(n, 1), 1.0)
 
 
-def _scored(net: ByteNet, pairs, part: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scored(net: ByteNet, pairs, part: pa.RecordBatch, known: np.ndarray, col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(language, score) of each text of a record batch."""
-    x, text = windows(*packed(part))
+    x, text = windows(*packed(part, col))
     total = np.zeros((part.num_rows, len(net.classes)))
     for s in range(0, len(x), 64):
         np.add.at(total, text[s : s + 64], net.probabilities(x[s : s + 64], pairs))
@@ -190,8 +180,8 @@ def _scored(net: ByteNet, pairs, part: pa.RecordBatch, known: np.ndarray) -> tup
     return lang, np.minimum(np.where(known, total.max(1), 0.0), 1.0)
 
 
-def _letters() -> Column:
-    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+def _letters(col: str = "text") -> Column:
+    return F.coalesce(F.col(col).rlike(r"\p{L}"), F.lit(False))
 
 
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
@@ -205,7 +195,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 lang, score = _scored(net, pairs, part, known)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", _letters().alias("letters"))
+    rows = named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", _letters().alias("letters"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -219,18 +209,19 @@ def keep_known(docs: DataFrame, net: ByteNet | None, least: float, least_seen: f
     score alone does not tell a text in another script.
     Without a network there is nothing to reject by but the lack of letters.
     """
-    rows = docs.filter(_letters())
+    rows, place = numbered(docs)
+    rows, at = rows.filter(_letters(place["text"])), place["text"]
     if net is None:
-        return rows
+        return rows.toDF(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for batch in batches:
-            for part in slices(batch, 4 << 20):
-                _, score = _scored(net, pairs, part, np.ones(part.num_rows, bool))
-                yield part.filter(pa.array((score >= least) & (seen_share(net, part) >= least_seen)))
+            for part in slices(batch, 4 << 20, at):
+                _, score = _scored(net, pairs, part, np.ones(part.num_rows, bool), at)
+                yield part.filter(pa.array((score >= least) & (seen_share(net, part, at) >= least_seen)))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -239,5 +230,5 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    net = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    net = train(named(docs, "doc_id", "text", "lang").filter(~held_out()))
     return predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -7,14 +7,23 @@ segmentations in the order of their scores. A text is cut into chunks that no
 piece of the vocabulary crosses (checked when a model is loaded); the best
 segmentations of a text are the best sums of its chunks' segmentations.
 
+The model file is a merge vocabulary: its scores only rank the pieces. As weights of the
+lattice serve log-probabilities by the Zipf-Mandelbrot law over that rank, after the single
+bytes; they add up to one over the vocabulary. The best path need not be the library's
+merges; each row tells how many of its chunks are cut the same way, and
+``encode_by_merges`` gives the library's own pieces.
+
 Null texts count as empty: no pieces, one (empty) segmentation. A text with one
-segmentation only has a null second score. Rows are kept one for one; extra
-columns are ignored. The meta symbol U+2581 in a text decodes to a space, as in
-the library.
+segmentation only has a null second score; of tied segmentations either may come first.
+Rows are kept one for one, repeated or not; extra columns are ignored, whatever their
+names. Texts are taken whole, a chunk at a time; a chunk of n characters takes memory in
+proportion to n times the longest piece. The meta symbol U+2581 in a text decodes to a
+space, as in the library. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -29,7 +38,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents
+from scrollsift.llm.common import documents, named
 
 MODEL = "piece_bpe_32k.model"
 META = "▁"
@@ -48,7 +57,11 @@ class Model(dict):
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         of_byte = {i: b for b, i in self.byte.items()}
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {i: sp.get_score(i) for i in plain}
+        self.sp = sp
+        self.break_ids = len(sp.encode("\n"))
+        rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)), 1 + len(self.byte))}
+        total = math.log(sum(1 / r for r in rank.values()))
+        self.score = {i: -math.log(r) - total for i, r in rank.items()}
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.unk_id = sp.unk_id()
         self.surface = [bytes([of_byte[i]]) if i in of_byte else sp.id_to_piece(i).encode() if i in self.score else b"" for i in ids]
@@ -62,16 +75,20 @@ class Model(dict):
             node.setdefault(piece[-1], [None, {}])[0] = (i, self.score[i])
 
     def __missing__(self, chunk: str) -> tuple:
-        """(best score, loss of the second best or infinity, best ids)."""
+        """(best score, loss of the second best or infinity, best ids, whether the library cuts it the same way)."""
         search = self.segmentations(chunk, 1)
         score, ids, bound = next(search)
-        found = (score, score - bound, array("i", ids).tobytes())
+        found = (score, max(0.0, score - bound), array("i", ids).tobytes(), self.merged(chunk) == list(ids))
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE:
                 self.clear()
             self[chunk] = found
         return found
 
+    def merged(self, chunk: str) -> list[int]:
+        """The library's pieces of a chunk: no merge crosses a line break, so one keeps off the prefix of a text."""
+        return self.sp.encode("\n" + chunk.replace(META, " "))[self.break_ids :]
+
     def lattice(self, chunk: str) -> tuple[list, list]:
         """Forward Viterbi: best score before each position, and the pieces that end there."""
         n = len(chunk)
@@ -161,18 +178,19 @@ def model(name: str) -> Model:
     return Model(public_tokenizers.path(name))
 
 
-SCHEMA = "doc_id long, ids array<int>, second_ids array<int>, best_score double, second_score double, round_trip boolean"
+SCHEMA = "doc_id long, ids array<int>, second_ids array<int>, best_score double, second_score double, round_trip boolean, n_chunks long, n_merged long"
 
 
 def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
     """(doc_id, text) -> the ids and scores of the two best segmentations of each whole
-    text, and whether decoding the best gives the text again. Without a shuffle."""
+    text, whether decoding the best gives the text again, its chunks and those that the
+    library cuts the same way. Without a shuffle."""
 
     def one(m: Model, text: str) -> tuple:
         chunks = m.chunks(text)
         if not chunks:
-            return np.zeros(0, np.int32), None, 0.0, None, True
-        scores, lost, best = zip(*map(m.__getitem__, chunks), strict=True)
+            return np.zeros(0, np.int32), None, 0.0, None, True, 0, 0
+        scores, lost, best, same = zip(*map(m.__getitem__, chunks), strict=True)
         ids = np.frombuffer(b"".join(best), np.int32)
         score, at = float(sum(scores)), int(np.argmin(lost))
         second = None
@@ -180,7 +198,7 @@ def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
             other = array("i", [*m.segmentations(chunks[at], 2)][1][1]).tobytes()
             second = np.frombuffer(b"".join((*best[:at], other, *best[at + 1 :])), np.int32)
         back = m.decode(ids.tolist()) == text.replace(META, " ")
-        return ids, second, score, None if second is None else score - lost[at], back
+        return ids, second, score, None if second is None else score - lost[at], back, len(chunks), sum(same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
@@ -188,14 +206,24 @@ def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = [one(m, t.as_py() or "") for t in part.column("text")]
-                ids, second, score, lower, back = zip(*rows, strict=True)
-                lists = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, lists), pa.array(second, lists), pa.array(score, pa.float64()), pa.array(lower, pa.float64()), pa.array(back, pa.bool_())],
-                    names=["doc_id", "ids", "second_ids", "best_score", "second_score", "round_trip"],
-                )
+                columns = zip(*rows, strict=True)
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+
+
+def encode_by_merges(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
+    """(doc_id, text) -> (doc_id, ids): the pieces that the library's merges give. Without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = model(model_name).sp
+        for batch in batches:
+            ids = [sp.encode(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
@@ -207,7 +235,7 @@ def decode_documents(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
             texts = [None if x.as_py() is None else m.decode(x.as_py()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return named(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
@@ -222,6 +250,8 @@ def digest(encoded: DataFrame) -> DataFrame:
         sha("ids").alias("ids_sha256"),
         sha("second_ids").alias("second_sha256"),
         "round_trip",
+        "n_chunks",
+        "n_merged",
     )
 
 

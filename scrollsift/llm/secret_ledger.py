@@ -5,9 +5,11 @@ ledger holds a row for each batch of rules that a blob was scanned by, so a run
 scans a blob only by the (rule, version) pairs that it has not seen; findings are
 then joined back to all paths that have the blob.
 
-Null texts count as empty, which has a blob of its own and no findings. Copies,
-repeated rows and null doc_ids all get their blob's findings; rows stay one for
-one. Extra columns are ignored.
+Null texts count as empty, which has a blob of its own and no findings. Rows that share
+a path are its versions. Copies, repeated rows and null doc_ids all get their blob's
+findings; rows stay one for one. Spans that start together stand in the order of their
+rules. Very long texts are scanned whole. Extra columns are ignored, whatever their
+names. An empty table gives no rows and no ledger rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import count_kind, documents, text_or_empty, written
+from scrollsift.llm.common import count_kind, documents, named, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 def addressed(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     """(path, text, blob)"""
     text = text_or_empty()
-    return docs.select(F.col(path).alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    return named(docs, path, "text").select(F.col(path).alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -97,8 +99,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob, spans): the ledger's spans of the given rules, in their versions, joined back to all paths."""
     paths = addressed(docs).select("path", "blob")
-    named = ledger.filter(F.size("spans") > 0)
-    spans = named.select("blob", F.explode("spans").alias("span")).filter(F.col("span.rule").isin(*[r.key for r in rules]))
+    hits = ledger.filter(F.size("spans") > 0)
+    spans = hits.select("blob", F.explode("spans").alias("span")).filter(F.col("span.rule").isin(*[r.key for r in rules]))
     spans = written(spans.groupBy("blob").agg(F.array_sort(F.collect_set("span")).alias("spans")), "findings")  # one text's spans
     none = F.array().cast(f"array<{SPAN}>")
     return paths.join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
@@ -112,7 +114,16 @@ def scan_incremental(docs: DataFrame, ledger: DataFrame | None = None, rules: tu
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_incremental(documents(spark, sf_dir))
+    """Findings of all documents after two runs of the ledger.
+
+    The first run has the rules but the last, and half of the paths have arrived; the second
+    has all rules and all paths. What the first one scanned is read from its ledger: its blobs
+    are scanned by the added rule only, blobs that arrived since by all.
+    """
+    docs = documents(spark, sf_dir)
+    arrived = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    ledger = written(scan(arrived, None, RULES[:-1]), "ledger")
+    found, _ = scan_incremental(docs, ledger)
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     counts = [count_kind("spans", r.kind).alias(f"n_{r.kind}") for r in RULES]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))

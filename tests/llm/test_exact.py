@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from scrollsift.llm import bpe_count, common, doc_prints, hamming, hashing, mixing, nbest, near_dup, pii, quality, queries, secret_ledger
+from scrollsift.llm import bpe_count, common, doc_prints, hamming, hashing, language, mixing, nbest, near_dup, pii, quality, queries, secret_ledger, toxicity
 from scrollsift.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -226,7 +226,7 @@ def test_shortage_goes_to_siblings_first(spark):
     sizes = spark.createDataFrame([("core", "en", "a", 10), ("core", "en", "b", 1000), ("core", "de", "c", 1000), ("web", "en", "d", 1000)], "domain string, lang string, source string, tokens long")
     even = {"domain": {}, "lang": {}, "source": {}}
     got = {r.source: r.share for r in mixing.budgets(sizes, even, 300, 1).collect()}
-    assert got == {"a": 10, "b": 215, "c": 225, "d": 451}  # 903 = 451 + 451 and one that is cut
+    assert got == {"a": 10, "b": 216, "c": 226, "d": 451} and sum(got.values()) == 903
     all_of_it = {r.source: r.share for r in mixing.budgets(sizes, even, 1000, 1).collect()}
     assert all_of_it == {"a": 10, "b": 1000, "c": 1000, "d": 1000}
 
@@ -240,12 +240,21 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.select_mixed(odd, budget=1000).count() == len(ODD)
 
 
+def test_equal_rows_are_taken_up_to_the_budget(spark):
+    rows = [(None, "one two three four", "en", "a")] * 90 + [(1, "five six", "en", "a"), (2, "", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = mixing.mixed(docs, budget=500, epochs=1).collect()  # 181 of 362 tokens
+    used = sum(r.copies * r.n_tokens for r in got)
+    assert 181 <= used < 181 + 4
+    assert len(got) == 92 and len(mixing.mixed(docs, budget=1000, epochs=1).filter("copies = 1").collect()) == 92
+
+
 # personal data
 
 
 def base_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[^0-9]", "", m[0])
         if 12 <= len(digits) <= 19 and pii.luhn(digits):
@@ -257,7 +266,7 @@ def base_pii(text):
 def test_pii_equals_brute_force(docs):
     rnd = random.Random(3)
     odd = ["".join(rnd.choice("0123456789.@+ -()ab%é") for _ in range(rnd.randrange(80))) for _ in range(5000)]
-    for text in [*odd, *(r.text for r in docs.collect()), "4111 1111 1111 1111", "1.2.3.4.5.6.7.8"]:
+    for text in [*odd, *(r.text for r in docs.collect()), "4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "0" * 5000 + ".1.1.1", "9" * 6000 + ".1.1.1 1.1.1." + "1" * 5000, "1 " * 9000]:
         assert [s for s in pii.spans(text) if s[1] < 4] == base_pii(text)
 
 
@@ -418,17 +427,41 @@ def test_nbest_equals_all_segmentations():
 def test_second_segmentation_of_tied_chunks(spark):
     m = nbest.model(nbest.MODEL)
     m.by_piece = {bytes(m.surface[i]).decode(): i for i in m.score}
-    texts = ["ingered", "rrrr", "x.%%%", "ingered rrrr", "the ingered"]
+    texts = ["ingered", "x.%%%", "$$$", "ingered %%%", "the ingered"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ties = 0
     for r in nbest.encode_documents(docs).collect():
         every = sorted(all_segmentations(m, nbest.META + texts[r.doc_id].replace(" ", nbest.META)), key=lambda x: -x[0])
-        assert [r.best_score, r.second_score] == [s for s, _ in every[:2]]
+        assert [r.best_score, r.second_score] == pytest.approx([s for s, _ in every[:2]])
         of = {ids: s for s, ids in every}
-        assert of[tuple(r.ids)] == r.best_score and of[tuple(r.second_ids)] == r.second_score
+        assert [of[tuple(r.ids)], of[tuple(r.second_ids)]] == pytest.approx([r.best_score, r.second_score])
         assert r.ids != r.second_ids
-        ties += r.best_score == r.second_score
-    assert ties >= 3
+        ties += r.best_score - r.second_score < 1e-9
+    assert ties >= 1
+
+
+def test_weights_are_log_probabilities_in_the_order_of_the_merges():
+    m = nbest.model(nbest.MODEL)
+    assert sum(np.exp(s) for s in m.score.values()) == pytest.approx(1)
+    assert sorted(m.score, key=lambda i: -m.score[i]) == sorted(m.score, key=lambda i: (-m.sp.get_score(i), i))
+
+
+def test_library_pieces_by_chunk_and_agreement(spark, docs):
+    m = nbest.model(nbest.MODEL)
+    odd = [" lead", "two  blanks", "a\nb", "x" * 500, "日本 x²!!", "trail  "]
+    texts = [r.text for r in docs.limit(40).collect()] + odd
+    for text in texts:
+        assert [i for c in m.chunks(text) for i in m.merged(c)] == m.sp.encode(text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.ids for r in nbest.encode_by_merges(rows).orderBy("doc_id").collect()] == [m.sp.encode(t) for t in texts]
+    encoded = nbest.encode_documents(rows)
+    for r in encoded.collect():
+        chunks = m.chunks(texts[r.doc_id])
+        assert (r.n_chunks, r.n_merged) == (len(chunks), sum(list(next(m.segmentations(c, 1))[1]) == m.merged(c) for c in chunks))
+    total = encoded.agg(F.sum("n_merged") / F.sum("n_chunks")).first()[0]
+    assert total > 0.8
+
+
 
 
 def test_encoding_round_trip(odd):
@@ -503,3 +536,66 @@ def test_word_hashes_do_not_depend_on_the_blocks(monkeypatch):
         monkeypatch.setattr(hashing, "BLOCK", block)
         again = hashing.word_hashes(data, off, hashing.NON_BLANK)
         assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+
+
+# all operators
+
+
+def clashing(spark):
+    """Documents with columns whose names differ in case only."""
+    rows = [(i, f"some words here number {i} and more " * 4, "en", "a", 40, "other", -1) for i in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, x string, y long").toDF("doc_id", "text", "lang", "source", "n_chars", "Text", "DOC_ID")
+
+
+def test_names_that_clash_by_case(spark):
+    docs = clashing(spark)
+    labels = docs.select(F.col("n_chars").alias("toxic"), F.col("n_chars").alias("Toxic"))
+    for operator in (bpe_count.token_counts, nbest.encode_documents, pii.find_pii, near_dup.near_duplicates, doc_prints.fingerprints, quality.quality, mixing.mixed, lambda d: secret_ledger.scan_incremental(d)[0], lambda d: language.predict(d, language.train(d)), lambda d: toxicity.score(d, None)):
+        assert operator(docs).count() == 12
+    assert doc_prints.with_next(docs, doc_prints._edited, doc_prints.SCHEMA).count() == 12
+    for operator in (pii.redact, lambda d: mixing.select_mixed(d, budget=1000), lambda d: language.keep_known(d, None, 0.0)):
+        out = operator(docs)
+        assert out.columns == docs.columns and out.count() == 12
+        assert {r[0] for r in out.collect()} == set(range(12)) and {r[6] for r in out.collect()} == {-1}
+    assert near_dup.keep_one(docs).columns == docs.columns
+    assert labels.columns == ["toxic", "Toxic"]
+
+
+def test_shared_folder_is_needed_beyond_local_masters(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    Context.master = "local[4]"
+    assert common.shared_dir(Session()).startswith("file:")
+
+
+def test_written_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    at = lambda df: Path(df._scrollsift_path.removeprefix("file://"))
+    with common.scratch(spark) as keep:
+        one, two = (common.written(spark.range(n), "t") for n in (1, 2))
+        keep.append(two)
+        assert at(one).exists()
+    assert not at(one).exists() and at(two).exists() and two.count() == 2
+    common.discard(two)
+    assert not at(two).exists()
+
+
+def test_very_long_text(spark):
+    text = "long text with an address a@b.example and token=abcdef1 " * 60_000  # 3 MB
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, "short", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert len(pii.spans(text)) == 60_000
+    assert secret_ledger.scan_incremental(docs)[0].selectExpr("max(size(spans))").first()[0] == 60_000
+    assert quality.statistics(docs).agg(F.max("n_repeat_words")).first()[0] == 9 * 60_000
+    rows = {r.doc_id: r for r in doc_prints.with_next(docs, doc_prints._edited, doc_prints.SCHEMA).collect()}
+    assert rows[1].n_chars == len(text)
+    assert near_dup.near_duplicates(docs).count() == 2

@@ -79,13 +79,128 @@ def test_toxicity_odd_rows(spark, odd):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_word_hashes_do_not_depend_on_place():
-    from scrollsift.llm.hashing import NON_BLANK, word_hashes
+def plain_ftrl(rows, alpha, beta, l1, passes):
+    """FTRL-proximal by its definition, coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(k):
+        s = z.get(k, 0.0)
+        return 0.0 if abs(s) <= l1 else (np.sign(s) * l1 - s) / ((beta + np.sqrt(n.get(k, 0.0))) / alpha)
+
+    for _ in range(passes):
+        for at, y in rows:
+            at = [*at, "intercept"]
+            p = 1 / (1 + np.exp(-sum(map(weight, at))))
+            for k, w in [(k, weight(k)) for k in at]:
+                g, old = p - y, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / alpha * w
+                n[k] = old + g * g
+    return {k: w for k in z if (w := weight(k))}
+
+
+def test_ftrl_equals_its_definition():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 8) + 30 * y), y) for y in rng.integers(0, 2, 300)]
+    model = toxicity.Ftrl(l1=0.5)
+    for _ in range(2):
+        for at, y in rows:
+            model.learn(at, int(y))
+    want = plain_ftrl(rows, model.alpha, model.beta, model.l1, 2)
+    got = model.weights()
+    assert dict(zip(got.at.tolist(), got.value.tolist(), strict=True)) == pytest.approx({k: w for k, w in want.items() if k != "intercept"}, rel=1e-5)
+    assert got.intercept == pytest.approx(want.get("intercept", 0.0))
+
+
+def test_scores_are_sums_over_words_pairs_and_skip_pairs(spark):
+    from scrollsift.llm import hashing
+
+    text = "one two three two one two"
+    h, _ = hashing.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), hashing.WORD_BYTES)
+    cells = {int(x) >> 44 for x in h}
+    for gap in (1, 2):
+        cells |= {int(hashing.pair(h[i : i + 1], h[i + gap : i + gap + 1], gap)[0]) >> 44 for i in range(len(h) - gap)}
+    rng = np.random.default_rng(1)
+    weights = toxicity.Weights(np.arange(1 << 20, dtype=np.int32), rng.normal(size=1 << 20).astype(np.float32), 0.25)
+    total = 0.25 + sum(float(weights.value[c]) for c in cells)
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, weights).collect()}
+    assert got == pytest.approx({1: 1 / (1 + np.exp(-total)), 2: 1 / (1 + np.exp(-0.25))})
+
+
+def test_repeated_ids_and_labels_count_once_in_the_toxicity_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 2}") for i in range(200)] + [(2, "other"), (3, "more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0)] * 50 + [(2, 0)] * 50 + [(3, 0)], "doc_id long, toxic int")
+    rows = toxicity.sampled(docs, labels, 1).collect()
+    assert sorted(r.toxic for r in rows) == [0, 1]
+    assert len(toxicity.sampled(docs, labels, 10).collect()) == 3
+
+
+def test_repeated_rows_count_once_in_a_sample(spark):
+    rows = spark.createDataFrame([("en", 1)] * 500 + [("en", i) for i in range(2, 40)] + [("de", 7)] * 9, "lang string, doc_id long")
+    got = [r.lang for r in common.hash_sample(rows, "lang", ("doc_id",), 20).collect()]
+    assert got.count("en") == 20 and got.count("de") == 1
+    large = spark.range(20_000).select("id", (F.col("id") % 3).alias("of"))
+    assert common.hash_sample(large, "of", ("id",), 50).groupBy("of").count().collect() == [(i, 50) for i in (0, 2, 1)] or {
+        r["count"] for r in common.hash_sample(large, "of", ("id",), 50).groupBy("of").count().collect()
+    } == {50}
+
+
+def naive_probabilities(net, window):
+    """One window through the network, filter by filter and place by place."""
+    hidden = []
+    for taps in net.taps:
+        for f in range(taps.shape[2]):
+            hidden.append(max(sum(float(taps[k, window[i + k], f]) for k in range(len(taps))) for i in range(len(window) - len(taps) + 1)))
+    hidden = np.maximum(np.array(hidden) + net.bias, 0)
+    z = hidden @ net.out + net.out_bias
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_network_equals_naive_convolution(net):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    got = net.probabilities(x, net.pairs())
+    for row, window in zip(got, x, strict=True):
+        assert row == pytest.approx(naive_probabilities(net, window), abs=1e-5)
+
+
+def test_training_steps_follow_the_gradient():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(97, 123, (64, language.WINDOW)).astype(np.uint8), rng.integers(0, 2, 64)
+    x[y == 1, 10:13] = (1, 2, 3)
+    net = language.ByteNet.fresh(["a", "b"])
+    loss = lambda: -np.log(net.probabilities(x, net.pairs())[np.arange(64), y]).mean()
+    before = loss()
+    net.fit(x, y, passes=20, size=64)
+    assert loss() < 0.7 * before
+
+
+def test_language_learns_from_whole_texts_and_bounded_rows(spark):
+    rows = [(1, "a" * 3000, "x")] * 50 + [(2, "b" * 700, "y"), (3, "c", "y")]
+    seen = []
+    fit = language.ByteNet.fit
+    language.ByteNet.fit = lambda self, x, y, *a: seen.append(np.bincount(y).tolist()) or fit(self, x, y, *a)
+    try:
+        language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5)
+    finally:
+        language.ByteNet.fit = fit
+    assert seen == [[12, 4]]
+
+
+def test_empty_tables(spark, docs, net):
+    none = docs.limit(0)
+    assert language.predict(none, net).count() == 0 == language.keep_known(none, net, 0.3).count()
+    assert toxicity.score(none, toxicity.Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, FOLDER).count() == 0, name
+
 
-    raw = b"one two oneTWO"
-    h, first = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, 8, 11, 14]), NON_BLANK)
-    assert first.tolist() == [0, 3, 4, 5] or first.tolist()[0] == 0
-    assert h[0] == h[2] and h[1] == h[3]
+def test_pipeline_takes_odd_rows(spark, odd):
+    before = odd.drop("letters", "o")
+    for name, stage in corpus_pipeline.STAGES:
+        before = common.written(stage(spark, before, FOLDER), name)
+    assert before.count() >= 1
 
 
 def test_pipeline_stages(spark, docs):

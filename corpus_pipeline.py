@@ -7,7 +7,12 @@ mixing        selects documents by the weights of their domain, language and sou
 pieces        encodes the texts and checks that they decode again
 
 Each stage gets what the one before it kept; all but the last return the columns of
-documents. Texts change in the PII stage only.
+documents. Texts change in the PII stage only. Null and empty texts have no letter and go
+in the first stage, very long ones are taken whole. Repeated rows are copies: one stays.
+Rows without doc_id are documents like others but never learned from. Ties are settled as
+each operator states. Extra columns stay up to the last stage, whatever their names; the
+stages between are written, so there no two names may differ in case only. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrollsift.llm import language, mixing, nbest, near_dup, pii
-from scrollsift.llm.common import documents, written
+from scrollsift.llm.common import discard, documents, named, scratch, written
 
 #: Documents whose best language has a lesser mean probability are rejected, as a part of
 #: the way from even odds to certainty: 0.3 with four languages.
@@ -27,7 +32,7 @@ BUDGET = 900
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = language.train(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
+    net = language.train(named(docs, "doc_id", "text", "lang").filter(~language.held_out()))
     even = 1 / len(net.classes) if net else 0.0
     return language.keep_known(docs, net, even + LEAST_SCORE * (1 - even), LEAST_SEEN)
 
@@ -61,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over documents; each stage's tables go as soon as the next stage has read them."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

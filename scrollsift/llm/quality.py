@@ -37,8 +37,8 @@ FEATURES = ("marks", "capitals", "repeats", "lines", "length")
 #: Steps of a rate and of a standardized value; words from which a text's own style outweighs chance.
 GRID, FINE, CHANCE_WORDS = 1000, 100, 1000
 SHARE = 0.5
-#: Steps that all starts take, and the most that the best one takes; it settles at a lesser change of the log determinant.
-FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-4
+#: Steps that all starts take, and the most that the best one takes; it settles when no log determinant falls by more.
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-3
 LEAST_ROWS = 10 * len(FEATURES)
 #: Least part of a feature's robust variance that the others leave unexplained.
 LEAST_PIVOT = 1e-4
@@ -280,7 +280,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = written(now.join(best, list(keys)).drop("start"), "best")
     for _ in range(MOST_STEPS):
         before, now = now, _step(rows, now, ("unit",))
-        change = now.select("unit", "log_det").join(before.select("unit", F.col("log_det").alias("old")), "unit").agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        change = now.select("unit", "log_det").join(before.select("unit", F.col("log_det").alias("old")), "unit").agg(F.max(F.col("old") - F.col("log_det"))).first()[0]
         discard(before)
         if change is None or change < SETTLED:
             break

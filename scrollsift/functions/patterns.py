@@ -83,6 +83,15 @@ class Registry:
             except re.error as e:
                 raise ValueError(f"bad pattern {pattern!r}: {e}") from e
 
+    def check(self, spark) -> None:
+        """Compile every pattern by Spark's own regular expressions, which differ in places."""
+        one = spark.range(1).select(F.lit("").alias("t"))
+        for pattern in self.patterns():
+            try:
+                one.select(F.regexp_count("t", F.lit(pattern))).collect()
+            except Exception as e:
+                raise ValueError(f"bad pattern {pattern!r} for Spark: {e}") from e
+
     def patterns(self) -> list[str]:
         return [
             *(e.pattern for e in self.entities),

@@ -45,27 +45,28 @@ def floor_rank(n: Column, p: float) -> Column:
 
 
 def tier2_scores(lines: DataFrame, registry: Registry) -> DataFrame:
-    """Score of each line and its parts, against its own capture, to six decimals."""
+    """Score of each line and its parts, against its own capture, to six decimals; ``bits`` is its entropy."""
     weights: Tier2 = registry.tier2
     whole, same = W.partitionBy(*CAPTURE), W.partitionBy(*CAPTURE, "line")
     order = whole.orderBy("line_no")
-    # each line is taken apart once; the line before it lends its set
+    # each line is taken apart once, before the shuffle; the line before it lends its set.
+    # the windows by capture come first, so that the others find their rows dealt already
+    taken = lines.withColumn("_set", T.character_set(F.col("line"))).withColumn("bits", T.shannon_entropy(F.col("line"), F.col("_set"))).withColumn("_technical", registry.technical(F.col("line")))
     seen = (
-        lines.withColumn("_set", T.character_set(F.col("line")))
-        .withColumn("freq", F.count("*").over(same))
-        .withColumn("total_lines", F.count("*").over(whole))
+        taken.withColumn("total_lines", F.count("*").over(whole))
         .withColumn("_previous", F.lag("line").over(order))
         .withColumn("_previous_set", F.lag("_set").over(order))
+        .withColumn("freq", F.count("*").over(same))
     )
     change = F.when(F.col("_previous").isNull(), F.lit(1.0)).when(F.col("line") == F.col("_previous"), F.lit(0.0)).otherwise(1 - T.jaccard(F.col("_set"), F.col("_previous_set")))
     parts = {
-        "entropy": F.round(T.shannon_entropy(F.col("line"), F.col("_set")) * weights.entropy, 6),
+        "entropy": F.round(F.col("bits") * weights.entropy, 6),
         "uniqueness": F.round((1 - F.col("freq") / F.col("total_lines")) * weights.uniqueness, 6),
-        "technical": F.round(registry.technical(F.col("line")) * weights.technical, 6),
+        "technical": F.round(F.col("_technical") * weights.technical, 6),
         "change": F.round(change * weights.change, 6),
     }
     scored = seen.select("*", *[c.alias(n) for n, c in parts.items()])
-    return scored.withColumn("score", F.round(F.col("entropy") + F.col("uniqueness") + F.col("technical") + F.col("change"), 6)).drop("_set", "_previous", "_previous_set")
+    return scored.withColumn("score", F.round(F.col("entropy") + F.col("uniqueness") + F.col("technical") + F.col("change"), 6)).drop("_set", "_previous", "_previous_set", "_technical")
 
 
 def tier2(lines: DataFrame, registry: Registry) -> DataFrame:
@@ -85,9 +86,12 @@ def tier3(lines: DataFrame, registry: Registry) -> DataFrame:
     """Clusters of lines of one capture that are equal once normalized.
 
     A form with fewer lines than the least size gives one cluster a line; one with
-    more than the most is cut into consecutive runs.
+    more than the most is cut into consecutive runs. Lines that bring their entropy
+    (``bits``) along aren't taken apart again.
     """
     config = registry.tier3
+    if config.chosen() == "highest_entropy" and "bits" not in lines.columns:
+        lines = lines.withColumn("bits", T.shannon_entropy(F.col("line")))
     form = W.partitionBy(*CAPTURE, "pattern")
     placed = (
         lines.withColumn("pattern", registry.normalize_tier3(F.col("line")))
@@ -99,7 +103,7 @@ def tier3(lines: DataFrame, registry: Registry) -> DataFrame:
     best = {
         "first": F.min_by("line", "line_no"),
         "longest": F.max_by("line", F.struct(F.octet_length("line"), F.col("line_no"))),
-        "highest_entropy": F.max_by("line", F.struct(F.round(T.shannon_entropy(F.col("line")), 6), F.col("line_no"))),
+        "highest_entropy": F.max_by("line", F.struct(F.round("bits", 6), F.col("line_no"))),
     }[config.chosen()]
     kind = F.when(small, F.lit("singleton")).when(large, F.lit("split")).otherwise(F.lit("count"))
     return (

@@ -83,11 +83,13 @@ def _shown(clusters: DataFrame) -> DataFrame:
     return C.plain(clusters.withColumn("members", F.array_join("members", "\n")).select(*SHOWN))
 
 
-def _clusters(strategy: str):
-    registry = replace(REGISTRY, tier3=Tier3(COARSE_MIN, COARSE_MAX, strategy, COARSE))
+def _coarse(strategy: str) -> Registry:
+    return replace(REGISTRY, tier3=Tier3(COARSE_MIN, COARSE_MAX, strategy, COARSE))
+
 
+def _clusters(strategy: str):
     def query(spark, d):
-        return _shown(L.tier3(_lines(spark, d), registry))
+        return _shown(L.tier3(_lines(spark, d), _coarse(strategy)))
 
     return query
 

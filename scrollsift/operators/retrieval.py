@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scrollsift.functions import defaults as D
 from scrollsift.functions import text as T
 from scrollsift.operators import index
+from scrollsift.operators.embedding import Provider
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,17 @@ class Query:
     since: int | None = None
     until: int | None = None
     prefilter: bool = False
+    min_similarity: float = D.MIN_SIMILARITY
 
     def __post_init__(self) -> None:
         if not self.text.strip():
             raise ValueError("query text cannot be empty")
 
 
-def ranked(hits: DataFrame) -> DataFrame:
-    """(id, score) -> rank from 1. Hits are a bounded top-k, so one task may order them."""
-    return hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """(id, score) -> rank from 1 of the best k; each task passes on k rows at most, and one task orders those."""
+    best = hits.orderBy(F.desc("score"), "id").limit(k)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, fusion: Fusion = Fusion()) -> DataFrame:
@@ -65,7 +68,8 @@ def hydrated(scored: DataFrame, chunks: DataFrame, captures: DataFrame) -> DataF
     )
 
 
-def filtered(results: DataFrame, query: Query, min_similarity: float = D.MIN_SIMILARITY) -> DataFrame:
+def filtered(results: DataFrame, query: Query) -> DataFrame:
+    """Results by session, tool, time and, if it is above zero, the least fused score."""
     out = results
     if query.session is not None:
         out = out.filter(F.col("session_id") == query.session)
@@ -75,7 +79,7 @@ def filtered(results: DataFrame, query: Query, min_similarity: float = D.MIN_SIM
         out = out.filter(F.col("ts") >= query.since)
     if query.until is not None:
         out = out.filter(F.col("ts") <= query.until)
-    return out.filter(F.col("score") >= min_similarity) if min_similarity > 0 else out
+    return out.filter(F.col("score") >= query.min_similarity) if query.min_similarity > 0 else out
 
 
 def overlap_scorer(query: str):
@@ -90,22 +94,45 @@ def reranked(results: DataFrame, query: str, limit: int, candidates: int = D.RER
     return best.withColumn("score", F.round(scorer(query), 6)).orderBy(F.desc("score"), "id").limit(limit)
 
 
+Vectors = DataFrame | index.VectorIndex
+
+
+def nearest(vectors: Vectors, query: str | list[float], k: int, provider: Provider | None = None) -> DataFrame:
+    """(id, score): the semantic step. A text is embedded by the provider; an index looks at
+    its nearest cells, a table of vectors is scanned."""
+    vector = [float(x) for x in provider.embed(query)] if isinstance(query, str) else query
+    return vectors.search(vector, k) if isinstance(vectors, index.VectorIndex) else index.knn(vectors, vector, k)
+
+
 def search(
-    query: Query, vector: list[float], chunks: DataFrame, captures: DataFrame, embeddings: DataFrame, fusion: Fusion = Fusion(), rerank: bool = False, multiplier: int = D.SEARCH_MULTIPLIER
+    query: Query,
+    vector: Provider | list[float],
+    chunks: DataFrame,
+    captures: DataFrame,
+    vectors: Vectors,
+    keywords: index.KeywordIndex,
+    fusion: Fusion = Fusion(),
+    rerank: bool = False,
+    multiplier: int = D.SEARCH_MULTIPLIER,
 ) -> DataFrame:
     """Over-fetch from both indexes, fuse, hydrate, filter, order, cut.
 
-    Filters come after the over-fetch unless the query asks for a prefilter, which
-    makes both rankings see the filtered chunks only.
+    vector: the query's, or the provider that makes it of the query's text. Filters come
+    after the over-fetch unless the query asks for a prefilter, which makes both rankings
+    see the filtered chunks only.
     """
+    n = query.limit * multiplier
+    asked, provider = (vector, None) if isinstance(vector, list) else (query.text, vector)
     if query.prefilter:
         named = captures.withColumns({"score": F.lit(1.0), "tool": F.coalesce("tool", F.lit("unknown"))})
-        chunks = chunks.join(filtered(named, query).select("capture_id"), "capture_id", "left_semi")
-        embeddings = embeddings.join(chunks.select("id"), "id", "left_semi")
-    n = query.limit * multiplier
-    fused = fuse(ranked(index.knn(embeddings, vector, n)), ranked(index.bm25(chunks.select("id", "text"), query.text, n)), fusion)
-    results = filtered(hydrated(fused, chunks, captures), query)
-    results = first_per_id(results)
+        ids = chunks.join(filtered(named, query).select("capture_id"), "capture_id", "left_semi").select("id")
+        rows = vectors.rows() if isinstance(vectors, index.VectorIndex) else vectors
+        semantic = nearest(rows.join(ids, "id", "left_semi"), asked, n, provider)
+        keyword = keywords.bm25(query.text).join(ids, "id", "left_semi")
+    else:
+        semantic, keyword = nearest(vectors, asked, n, provider), keywords.bm25(query.text, n)
+    fused = fuse(ranked(semantic, n), ranked(keyword, n), fusion)
+    results = first_per_id(filtered(hydrated(fused, chunks, captures), query))
     if rerank:
         return reranked(results, query.text, query.limit)
     return results.orderBy(F.desc("score"), "id").limit(query.limit)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrollsift.functions import text as T
 from scrollsift.functions.patterns import Registry
+from scrollsift.operators import graph
 
 
 def extract(captures: DataFrame, registry: Registry, types: list[str] | None = None, by_tool: bool = False) -> DataFrame:
@@ -95,6 +96,37 @@ def metadata_json(metadata: DataFrame) -> DataFrame:
     return metadata.select("capture_id", F.to_json(F.struct(*[c for c in metadata.columns if c != "capture_id"])).alias("metadata"))
 
 
+METADATA = "entity_types array<string>, entity_count bigint, hosts array<string>, vulnerabilities array<string>, has_sensitive boolean"
+
+
+def metadata_decoded(rows: DataFrame) -> DataFrame:
+    """(..., metadata) -> the metadata's fields beside the others; what can't be decoded gives empty ones."""
+    m = F.from_json("metadata", METADATA)
+    none = lambda c: F.coalesce(m[c], F.array().cast("array<string>")).alias(c)
+    others = [c for c in rows.columns if c != "metadata"]
+    return rows.select(
+        *others, none("entity_types"), F.coalesce(m["entity_count"], F.lit(0)).alias("entity_count"), none("hosts"), none("vulnerabilities"),
+        F.coalesce(m["has_sensitive"], F.lit(False)).alias("has_sensitive"),
+    )
+
+
+def of_capture(entities: DataFrame, capture_id: int) -> DataFrame:
+    return entities.filter(F.col("capture_id") == capture_id)
+
+
+def chunk_metadata(chunks: DataFrame, registry: Registry) -> DataFrame:
+    """(id, text) -> (id, entity_count, has_sensitive): what the text of each chunk has."""
+    found = extract(chunks.select("id", F.col("text").alias("output")), registry).groupBy("id").agg(F.count("*").alias("entity_count"), F.bool_or("redact").alias("has_sensitive"))
+    filled = chunks.select("id").join(found, "id", "left")
+    return filled.select("id", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.coalesce("has_sensitive", F.lit(False)).alias("has_sensitive"))
+
+
+def enrich(entities: DataFrame, folder: str) -> DataFrame:
+    """Add a batch's entities to the stored graph, then give the metadata of its captures."""
+    graph.append_edges(entities, folder)
+    return capture_metadata(entities)
+
+
 def with_tool(captures: DataFrame, registry: Registry, command: str = "command") -> DataFrame:
     return captures.withColumn("tool", registry.detect_tool(F.col(command)))
 

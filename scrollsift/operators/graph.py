@@ -8,6 +8,8 @@ distinct partners; credentials count every mention.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,33 +56,77 @@ def host_paths(entities: DataFrame) -> DataFrame:
     return edges(entities, F.col("type").isin(*PATH_TYPES)).withColumnRenamed("value", "path")
 
 
-def host_nodes(entities: DataFrame) -> DataFrame:
+def edge_rows(entities: DataFrame) -> DataFrame:
+    """(kind, host, value, detail, ts, capture_id, copies): all edges of the graph and its hosts, as one table.
+
+    A batch of captures appends its rows; ``nodes`` of the whole table is the graph after it.
+    """
+    shape = lambda d, kind, value, detail, copies: d.select(
+        F.lit(kind).alias("kind"), "host", F.col(value).cast("string").alias("value") if value else F.lit(None).cast("string").alias("value"),
+        F.col(detail).alias("detail") if detail else F.lit(None).cast("string").alias("detail"), "ts", "capture_id", F.col(copies).alias("copies"),
+    )
+    parts = [
+        shape(hosts(entities), "host", None, None, "host_mentions"),
+        shape(host_ports(entities), "port", "port", None, "copies"),
+        shape(host_services(entities).withColumn("copies", F.lit(1).cast("long")), "service", "service", "version", "copies"),
+        shape(host_vulnerabilities(entities), "cve", "cve", None, "copies"),
+        shape(host_credentials(entities), "credential", "value", None, "copies"),
+        shape(host_paths(entities), "path", "path", None, "copies"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def append_edges(entities: DataFrame, folder: str) -> DataFrame:
+    """Add a batch of captures to a stored graph; returns its edge table."""
+    edge_rows(entities).write.mode("append").parquet(folder)
+    return entities.sparkSession.read.parquet(folder)
+
+
+def nodes(edges: DataFrame) -> DataFrame:
     """Each host with its ports, services, vulnerabilities, credentials, paths and times.
 
     All services of a host stand at its least port, the latest named service wins;
-    the first time is that of the first capture in order.
+    the first time is that of the first capture in order. A host's lists hold its
+    distinct values; ``edge_rows`` has them as rows.
     """
-    base = hosts(entities).groupBy("host").agg(F.min_by("ts", F.struct("ts", "capture_id")).alias("first_seen"), F.max("ts").alias("last_seen"))
-    ports = host_ports(entities).groupBy("host").agg(F.array_sort(F.collect_set("port")).alias("ports"))
-    services = host_services(entities).groupBy("host").agg(F.max_by("service", F.struct("ts", "capture_id", "service")).alias("latest_service"))
-    vulns = host_vulnerabilities(entities).groupBy("host").agg(F.array_sort(F.collect_set("cve")).alias("vulnerabilities"))
-    creds = host_credentials(entities).groupBy("host").agg(F.sum("copies").alias("credentials"))
-    paths = host_paths(entities).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    out = base
-    for part in (ports, services, vulns, creds, paths):
-        out = out.join(part, "host", "left")
-    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
-    at_port = F.when(F.col("ports").isNotNull() & F.col("latest_service").isNotNull(), F.create_map(F.array_min("ports"), "latest_service"))
-    return out.select(
-        "host", "first_seen", "last_seen", none("ports", "int"), at_port.alias("services"), none("vulnerabilities", "string"),
-        F.coalesce("credentials", F.lit(0)).alias("credentials"), none("paths", "string"),
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    listed = lambda kind, value="value": F.array_sort(F.collect_set(of(kind, F.col(value))))
+    port = F.col("value").cast("int")
+    at = F.struct("ts", "capture_id")
+    out = edges.groupBy("host").agg(
+        F.min_by("ts", of("host", at)).alias("first_seen"),
+        F.max(of("host", F.col("ts"))).alias("last_seen"),
+        F.array_sort(F.collect_set(of("port", port))).alias("ports"),
+        F.max_by("value", of("service", F.struct("ts", "capture_id", "value"))).alias("latest_service"),
+        listed("cve").alias("vulnerabilities"),
+        F.coalesce(F.sum(of("credential", F.col("copies"))), F.lit(0)).alias("credentials"),
+        listed("path").alias("paths"),
     )
+    at_port = F.when((F.size("ports") > 0) & F.col("latest_service").isNotNull(), F.create_map(F.array_min("ports"), "latest_service"))
+    return out.select("host", "first_seen", "last_seen", "ports", at_port.alias("services"), "vulnerabilities", "credentials", "paths")
+
+
+def host_nodes(entities: DataFrame) -> DataFrame:
+    return nodes(edge_rows(entities))
+
+
+def host(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.filter(F.col("host") == name)
+
+
+def service(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.filter(F.col("service") == name)
+
+
+def hosts_json(nodes: DataFrame) -> DataFrame:
+    """(host, node): each host as a JSON object."""
+    return nodes.select("host", F.to_json(F.struct(*nodes.columns)).alias("node"))
 
 
 def service_vulnerabilities(entities: DataFrame) -> DataFrame:
     """(service, cve): the host of the vulnerability was one of the service's by then."""
     since = host_services(entities).groupBy("service", "host").agg(F.min(F.struct("ts", "capture_id")).alias("since"))
-    vulns = host_vulnerabilities(entities).select("host", "cve", F.struct("ts", "capture_id").alias("at")).distinct()
+    vulns = host_vulnerabilities(entities).groupBy("host", "cve").agg(F.max(F.struct("ts", "capture_id")).alias("at"))  # the last mention decides
     return since.join(vulns, "host").filter("since <= at").select("service", "cve").distinct()
 
 

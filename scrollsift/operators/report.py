@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrollsift.operators import entities as E
@@ -30,6 +30,15 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def layout(spark: SparkSession, folder: str, session: str) -> dict[str, str]:
+    """Folders of a session's report, made if they are missing."""
+    at = {part: f"{folder}/reports/{session}/{part}" for part in ("evidence", "export")}
+    for path in at.values():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return at
+
+
 def export(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Write tables as Parquet; returns (name, rows, checksum), the checksum free of row order."""
     out = None

@@ -41,6 +41,27 @@ def blobs(captures: DataFrame, compress_from: int = D.COMPRESS_FROM) -> DataFram
     return hashed.groupBy("hash").agg(F.min("size").alias("size"), F.min("at").alias("created_at"), F.count("*").alias("ref_count")).withColumn("compressed", F.col("size") >= compress_from)
 
 
+def blob_contents(captures: DataFrame) -> DataFrame:
+    """(hash, content): each distinct output once; Parquet compresses it."""
+    rows = captures.select(T.content_hash(F.col("output")).alias("hash"), F.col("output").alias("content"))
+    return rows.groupBy("hash").agg(F.first("content").alias("content"))
+
+
+def content_of(contents: DataFrame, digest: str) -> DataFrame:
+    return contents.filter(F.col("hash") == digest)
+
+
+def has_blob(blobs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash, present) for each hash asked for."""
+    known = blobs.select("hash").distinct().withColumn("present", F.lit(True))
+    return hashes.select("hash").distinct().join(known, "hash", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def without_blobs(blobs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Blobs that stay when these are deleted."""
+    return blobs.join(hashes.select("hash"), "hash", "left_anti")
+
+
 def merged_blobs(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Reference counts of stored and new blobs together."""
     return stored.unionByName(new).groupBy("hash").agg(F.min("size").alias("size"), F.min("created_at").alias("created_at"), F.sum("ref_count").alias("ref_count"), F.bool_or("compressed").alias("compressed"))
@@ -83,6 +104,11 @@ def by_ids(table: DataFrame, key: str, ids: list[int]) -> DataFrame:
     return table.filter(F.col(key).isin(ids)) if ids else table.limit(0)
 
 
+def embedding_of(embeddings: DataFrame, chunk_id: int) -> DataFrame:
+    """The embedding of a chunk: no row or one."""
+    return embeddings.filter(F.col("chunk_id") == chunk_id).limit(1)
+
+
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose parent is missing; null keys refer to nothing."""
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")

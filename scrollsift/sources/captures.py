@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,44 @@ def session_files(spark: SparkSession, folder: str) -> DataFrame:
     schema = "id string, name string, started_at timestamp, stopped_at timestamp, status string, capture_count bigint, blob_count bigint, metadata map<string,string>, _corrupt_record string"
     rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(folder)
     return rows.filter("_corrupt_record is null and id is not null").drop("_corrupt_record")
+
+
+def save_session(folder: str, state: dict) -> str:
+    """Write a session's state file, visible at once."""
+    at = os.path.join(folder, "sessions", state["id"])
+    os.makedirs(at, exist_ok=True)
+    path = os.path.join(at, "state.json")
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        json.dump(state, f, indent=2)
+    os.replace(path + ".tmp", path)
+    return path
+
+
+def delete_session(folder: str, session: str) -> None:
+    """Delete a session's folder; an unknown session is an error."""
+    at = os.path.join(folder, "sessions", session)
+    if not os.path.isdir(at):
+        raise LookupError(f"no session {session}")
+    shutil.rmtree(at)
+
+
+def hook(shell: str, folder: str, session: str, own: str = "scrollsift") -> str:
+    """Script for an interactive bash or zsh that lands a record of each command, output left out.
+
+    Empty commands and the engine's own are skipped, as ``recorded`` does.
+    """
+    if shell not in ("bash", "zsh"):
+        raise ValueError(f"no hook for {shell}")
+    last, install = {
+        "bash": ("$(HISTTIMEFORMAT= history 1 | sed 's/^ *[0-9]* *//')", "PROMPT_COMMAND='_land_command'\"${PROMPT_COMMAND:+;$PROMPT_COMMAND}\""),
+        "zsh": ("${history[$((HISTCMD - 1))]}", "autoload -Uz add-zsh-hook && add-zsh-hook precmd _land_command"),
+    }[shell]
+    return f"""_land_command() {{
+  local code=$? line="{last}"
+  case "$line" in '' | {own} | '{own} '*) return ;; esac
+  line=$(printf '%s' "$line" | sed 's/\\\\/\\\\\\\\/g; s/"/\\\\"/g')
+  local at={folder}/$(date +%s%N).json
+  printf '{{"type":"capture","session_id":"{session}","timestamp":%s,"command":"%s","output":"","exit_code":%s,"cwd":"%s"}}\\n' "$(date +%s)" "$line" "$code" "$PWD" > "$at.tmp" && mv "$at.tmp" "$at"
+}}
+{install}
+"""

@@ -19,6 +19,7 @@ from scrollsift.functions.patterns import Registry
 from scrollsift.operators import entities as E
 from scrollsift.operators import filtering, storage
 from scrollsift.sources import captures as C
+from scrollsift.sources import tables
 
 KEPT = "session_id string, normalized string, capture_id bigint, ts bigint, line_no int, line string, occurrence int"
 
@@ -35,8 +36,10 @@ class FirstLines(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.seen.get()[0] if self.seen.exists() else 0
         if n < self.most:
-            frame = pd.concat(rows).sort_values(["ts", "capture_id", "line_no"], kind="stable")
-            kept = frame.head(self.most - n)
+            order, kept = ["ts", "capture_id", "line_no"], None
+            for frame in rows:  # never more than the first few rows and one batch of them are held
+                both = frame if kept is None else pd.concat([kept, frame])
+                kept = both.sort_values(order, kind="stable").head(self.most - n)
             self.seen.update((n + len(kept),))
             yield kept.assign(occurrence=range(n + 1, n + 1 + len(kept)))[["session_id", "normalized", "capture_id", "ts", "line_no", "line", "occurrence"]].astype({"occurrence": "int32"})
 
@@ -56,6 +59,11 @@ def state_gauge(spark, checkpoint: str) -> DataFrame:
     return state.groupBy("key.session_id").agg(F.count("*").alias("forms"))
 
 
+def reset(spark, checkpoint: str) -> bool:
+    """Forget all counts: the next start of the filter begins anew. False if there was no state."""
+    return tables.delete(spark, checkpoint)
+
+
 def counted(messages: DataFrame, name: str = "messages") -> DataFrame:
     """Decoded messages that report, with each batch's progress, how many came and how many were unusable."""
     return messages.observe(name, F.count("*").alias("processed"), F.count_if(F.col("reject").isNotNull()).alias("errors"))
@@ -77,10 +85,12 @@ def batch_writer(folder: str, registry: Registry):
         key = F.xxhash64("session_id", "ts", "command", "output")
         put(rows.withColumn("capture_id", key).withColumn("output_hash", T.content_hash(F.col("output"))).withColumn("tool", registry.detect_tool(F.col("command"))), "landed")
         landed = batch.sparkSession.read.parquet(at.format("landed"))
-        put(storage.blobs(landed), "blobs")
+        put(storage.blobs(landed).join(storage.blob_contents(landed), "hash"), "blobs")
         put(landed.drop("output"), "captures")
         put(E.extract(landed.select("capture_id", "output"), registry), "entities")
-        put(filtering.cluster_metadata(filtering.filter_pipeline(landed.select("capture_id", "session_id", "ts", "output"), registry)), "chunks")
+        clusters = filtering.cluster_metadata(filtering.filter_pipeline(landed.select("capture_id", "session_id", "ts", "output"), registry))
+        chunk = F.xxhash64("capture_id", "pattern", "split_no").alias("id")
+        put(clusters.join(landed.select("capture_id", F.col("output_hash").alias("blob_hash")), "capture_id").select(chunk, "*"), "chunks")
 
     return write
 

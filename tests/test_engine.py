@@ -7,6 +7,7 @@ from scrollsift import config
 from scrollsift.functions import patterns as P
 from scrollsift.functions import text as T
 from scrollsift.operators import entities as E
+from scrollsift.operators import embedding as M
 from scrollsift.operators import graph as G
 from scrollsift.operators import index as I
 from scrollsift.operators import report as R
@@ -79,36 +80,154 @@ def test_storage(spark):
     assert S.unreferenced(blobs, refs).count() == 2
 
 
+def test_blob_contents(spark):
+    captures = spark.createDataFrame([("a",), ("a",), ("b",)], "output string")
+    contents = S.blob_contents(captures)
+    digest = contents.filter("content = 'b'").first()["hash"]
+    assert [r.content for r in S.content_of(contents, digest).collect()] == ["b"] and S.content_of(contents, "x").count() == 0
+    asked = spark.createDataFrame([(digest,), ("x",)], "hash string")
+    assert {r["hash"]: r.present for r in S.has_blob(contents, asked).collect()} == {digest: True, "x": False}
+    assert [r.content for r in S.without_blobs(contents, asked).collect()] == ["a"]
+
+
+def test_session_files(spark, tmp_path):
+    C.save_session(str(tmp_path), {"id": "s1", "name": "n", "status": "active", "capture_count": 2})
+    C.save_session(str(tmp_path), {"id": "s2", "name": "m"})
+    assert sorted((r.id, r.name, r.capture_count) for r in C.session_files(spark, str(tmp_path)).collect()) == [("s1", "n", 2), ("s2", "m", None)]
+    C.delete_session(str(tmp_path), "s2")
+    assert [r.id for r in C.session_files(spark, str(tmp_path)).collect()] == ["s1"]
+    with pytest.raises(LookupError):
+        C.delete_session(str(tmp_path), "s2")
+
+
+def test_hook_lands_commands_that_can_be_decoded(spark, tmp_path):
+    import subprocess
+
+    script = C.hook("bash", str(tmp_path), "s1").splitlines()
+    body = "\n".join(line for line in script if "PROMPT_COMMAND" not in line).replace("$(HISTTIMEFORMAT= history 1 | sed 's/^ *[0-9]* *//')", "$LINE")
+    for line in ('grep "a\\b" f', "", "scrollsift status", "ls"):
+        subprocess.run(["bash", "-c", f"{body}\n_land_command"], env={"LINE": line, "PATH": "/usr/bin:/bin"}, check=True)
+    rows = C.accepted(C.decoded(spark.read.text(str(tmp_path)))).collect()
+    assert sorted(r.command for r in rows) == ['grep "a\\b" f', "ls"] and {r.session_id for r in rows} == {"s1"}
+    assert "precmd" in C.hook("zsh", "f", "s")
+    with pytest.raises(ValueError):
+        C.hook("fish", "f", "s")
+
+
+def test_report_folders(spark, tmp_path):
+    at = R.layout(spark, str(tmp_path), "s")
+    assert sorted(at) == ["evidence", "export"] and (tmp_path / "reports" / "s" / "export").is_dir()
+
+
+def test_patterns_compile_in_spark(spark):
+    REGISTRY.check(spark)
+    with pytest.raises(ValueError, match="for Spark"):
+        P.Registry(entities=(P.EntityPattern("x", "(?P<name>a)", 1.0, 1),)).check(spark)
+
+
+def test_metadata_decoding_has_defaults(spark, found):
+    encoded = E.metadata_json(E.capture_metadata(found))
+    assert E.metadata_decoded(encoded).first() == E.capture_metadata(found).first()
+    broken = E.metadata_decoded(encoded.withColumn("metadata", F.lit("nonsense"))).first()
+    assert (broken.entity_types, broken.entity_count, broken.has_sensitive) == ([], 0, False)
+
+
+def test_graph_grows_by_batches(spark, found, tmp_path):
+    E.enrich(found, str(tmp_path / "g")).collect()
+    nodes = G.nodes(spark.read.parquet(str(tmp_path / "g")))
+    assert sorted(map(tuple, nodes.select("host", "ports").collect())) == sorted(map(tuple, G.host_nodes(found).select("host", "ports").collect()))
+    assert G.host(nodes, "10.0.0.5").count() == 1 and G.service(G.service_nodes(found), "OpenSSH").count() == 1
+    assert '"host":"10.0.0.5"' in G.hosts_json(G.host(nodes, "10.0.0.5")).first().node
+
+
 def test_migrate(spark):
     spark.sql("DROP DATABASE IF EXISTS migrating CASCADE")
     assert [S.migrate(spark, "migrating"), S.migrate(spark, "migrating")] == [0, 1]
     spark.sql("DROP DATABASE migrating CASCADE")
 
 
-def test_index(spark):
+def test_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "A fox, test document"), (3, "python programming CVE-2021-44228"), (4, None)], "id long, text string")
-    assert {r.id for r in I.bm25(docs, "FOX").collect()} == {1, 2}
-    assert [r.id for r in I.phrase(docs, "test document").collect()] == [2]
-    assert [r.id for r in I.bm25(docs, "CVE-2021-44228").collect()] == [3]
+    index = I.KeywordIndex.create(docs, str(tmp_path / "k"))
+    assert {r.id for r in index.bm25("FOX").collect()} == {1, 2}
+    assert [r.id for r in index.phrase("test document").collect()] == [2] and index.phrase("document test").count() == 0
+    assert [r.id for r in index.bm25("CVE-2021-44228").collect()] == [3]
+    with pytest.raises(ValueError):
+        index.bm25("  ")
+    index.add(spark.createDataFrame([(2, "a fox again"), (5, "fox fox fox test")], docs.schema))
+    assert tuple(index.size().first()) == (6, 5) and sorted(r.id for r in index.bm25("fox").collect()) == [1, 2, 2, 5]
+    index.delete(docs.filter("id = 1").select("id"))
+    for left in (index, I.KeywordIndex.load(spark, index.folder), index.merge()):
+        assert tuple(left.size().first()) == (5, 4) and sorted(r.id for r in left.bm25("fox").collect()) == [2, 2, 5]
+    index.clear()
     with pytest.raises(ValueError):
-        I.bm25(docs, "  ")
-    left = I.removed(docs, docs.filter("id = 1").select("id"))
-    assert tuple(I.size(left).first()) == (3, 3) and {r.id for r in I.bm25(left, "fox").collect()} == {2}
+        I.KeywordIndex.load(spark, index.folder)
+
+
+def test_repeated_terms_of_a_phrase(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "go go go now"), (2, "go now go"), (3, "now go go")], "id long, text string")
+    index = I.KeywordIndex.create(docs, str(tmp_path / "k"))
+    assert sorted(r.id for r in index.phrase("go go").collect()) == [1, 3]
+    assert sorted(r.id for r in index.phrase("go go now").collect()) == [1]
+
 
+def test_query_reads_its_own_buckets(spark, tmp_path):
+    index = I.KeywordIndex.create(spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, text string"), str(tmp_path / "k"))
+    plan = index.read(["alpha"])._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1]
 
-def test_knn(spark):
+
+def test_knn(spark, tmp_path):
     unit = [[1.0, 0, 0], [0, 1.0, 0], [0.9, 0.1, 0], [1.0, 0]]
     df = spark.createDataFrame([(i + 1, [float(x) for x in v]) for i, v in enumerate(unit)], "id long, vector array<float>")
     assert [(r.id, r.score) for r in I.knn(df, [1.0, 0, 0], 2).collect()] == [(1, 1.0), (3, 0.993884)]
     assert [r.id for r in I.dimension_errors(df, 3).collect()] == [4]
+    index = I.VectorIndex.create(df, str(tmp_path / "v"), 3)
+    assert [(r.id, r.score) for r in index.search([2.0, 0, 0], 2, None).collect()] == [(1, 1.0), (3, 0.993884)]
+    assert (index.size(), I.VectorIndex.load(spark, index.folder).dimension()) == (3, 3)
+    with pytest.raises(ValueError):
+        index.search([1.0], 2)
+    index.clear()
+    assert index.size() == 0 and index.search([1.0, 0, 0], 2).count() == 0
+    index.add(df)
+    assert index.size() == 3
+
+
+def test_pruned_vector_search_finds_most_of_the_nearest(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = I.VectorIndex.create(rows, str(tmp_path / "v"), len(rows.first().vector))
+    exact = {(r.query, r.id) for r in I.knn_blocks(rows, rows.filter("id % 50 = 0"), 10, 100).collect()}
+    found = {(q.id, r.id) for q in rows.filter("id % 50 = 0").collect() for r in index.search(list(q.vector), 10, 16).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
 
 
 def test_embedder_is_unit_and_keeps_empty_rows(spark):
-    rows = I.embedded(spark.createDataFrame([(1, "some text"), (2, ""), (3, None)], "id long, text string")).orderBy("id").collect()
+    provider = M.HashingProvider()
+    rows = M.embedded(spark.createDataFrame([(1, "some text"), (2, ""), (3, None)], "id long, text string"), provider).orderBy("id").collect()
     assert len(rows[0].vector) == 384 and rows[1].vector is None and rows[2].vector is None
     assert sum(x * x for x in rows[0].vector) == pytest.approx(1.0, abs=1e-5)
+    assert rows[0].vector == pytest.approx([float(x) for x in provider.embed("some text")])
+    with pytest.raises(ValueError):
+        M.HashingProvider("none")
     with pytest.raises(ValueError):
-        I.embedded(spark.createDataFrame([(1, "x")], "id long, text string"), "none")
+        provider.embed(" ")
+
+
+def test_embedding_job_counts_failures_and_fills_both_indexes(spark, tmp_path):
+    provider = M.HashingProvider()
+    vectors = I.VectorIndex.create(spark.createDataFrame([], "id long, vector array<float>"), str(tmp_path / "v"), provider.dimension)
+    keywords = I.KeywordIndex.create(spark.createDataFrame([], "id long, text string"), str(tmp_path / "k"))
+    chunks = spark.createDataFrame([(1, "open port"), (2, " "), (3, "closed port")], "id long, text string")
+    assert tuple(M.process(chunks, provider, keywords, vectors).first()) == (2, 1)
+    assert sorted(r.id for r in keywords.bm25("port").collect()) == [1, 3]
+    assert [r.id for r in V.nearest(vectors, "open port", 1, provider).collect()] == [1]
+    M.process_background(spark.createDataFrame([(4, "open door")], chunks.schema), provider, keywords, vectors).join()
+    captures = spark.createDataFrame([(i, "s", "nmap x", "nmap", i) for i in (1, 3, 4)], "capture_id long, session_id string, command string, tool string, ts long")
+    hydrated = spark.createDataFrame([(1, "open port", 1, "h"), (3, "closed port", 3, "h"), (4, "open door", 4, "h")], "id long, text string, capture_id long, blob_hash string")
+    found = V.search(V.Query("open port", 2), provider, hydrated, captures, vectors, keywords).collect()
+    assert found[0].id == 1 and len(found) == 2
+    assert V.search(V.Query("open port", 2, min_similarity=1.0), provider, hydrated, captures, vectors, keywords).count() == 0
+    assert [r.id for r in V.search(V.Query("open", 2, since=4, prefilter=True), provider, hydrated, captures, vectors, keywords).collect()] == [4]
 
 
 def test_fusion(spark):
@@ -183,6 +302,7 @@ def test_streaming_first_tier(spark, tmp_path):
         assert rows - kept == (4, 2)[k]
         kept = rows
     assert [(r.session_id, r.forms) for r in ingest.state_gauge(spark, state).collect()] == [("s", 2)]
+    assert ingest.reset(spark, state) and not ingest.reset(spark, state)
 
 
 def test_ingest_stream(spark, tmp_path):
@@ -194,3 +314,6 @@ def test_ingest_stream(spark, tmp_path):
     read = lambda t: spark.read.parquet(f"{out}/{t}")
     assert read("captures").first().tool == "nmap" and read("quarantine").count() == 1
     assert read("entities").filter("type = 'ip_address'").count() == 6 and read("chunks").count() >= 1
+    assert read("blobs").first().content == message["output"]
+    chunk, capture = read("chunks").first(), read("captures").first()
+    assert chunk.id is not None and chunk.blob_hash == capture.output_hash and chunk.capture_id == capture.capture_id

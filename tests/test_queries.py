@@ -23,9 +23,3 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-def test_embeddings_keep_rows(spark):
-    out = registry.QUERIES["embed_hash"](spark, FOLDER)
-    assert out.count() == 200
-    assert {r["dimension"] for r in out.select("dimension").distinct().collect()} == {384}

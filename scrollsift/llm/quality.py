@@ -37,7 +37,7 @@ FEATURES = ("marks", "capitals", "repeats", "lines", "length")
 #: Steps of a rate and of a standardized value; words from which a text's own style outweighs chance.
 GRID, FINE, CHANCE_WORDS = 1000, 100, 1000
 SHARE = 0.5
-#: Steps that all starts take, and the most that the best one takes; it settles when no log determinant falls by more.
+#: Steps that all starts take, and the most that the best one takes; a unit settles when its log determinant falls by less.
 FIRST_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-3
 LEAST_ROWS = 10 * len(FEATURES)
 #: Least part of a feature's robust variance that the others leave unexplained.
@@ -213,6 +213,7 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], factor: Column, name: str)
     """Mean, Cholesky factor (columns m_f, l_f_g) and log determinant of each group of standardized rows."""
     sums = [F.avg(f).alias(f"m_{f}") for f in FEATURES] + [F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in _pairs()]
     out = rows.groupBy(*keys).agg(*[F.first(f"s_{f}").alias(f"s_{f}") for f in FEATURES], *sums).withColumn("_factor", factor)
+    factors = []  # each may name those before it
     for i, a in enumerate(FEATURES):
         for j, b in enumerate(FEATURES[: i + 1]):
             value = F.col(f"c_{a}_{b}") * F.col("_factor")
@@ -222,7 +223,8 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], factor: Column, name: str)
                 value = F.when(_active(a), F.sqrt(F.greatest(value, F.lit(LEAST_PIVOT)))).otherwise(1.0)
             else:
                 value = value / F.col(f"l_{b}_{b}")
-            out = out.withColumn(f"l_{a}_{b}", value)
+            factors.append(value.alias(f"l_{a}_{b}"))
+    out = out.select("*", *factors)
     det = reduce(lambda s, f: s + F.log(F.col(f"l_{f}_{f}")), FEATURES, F.lit(0.0))
     return written(out.select(*keys, det.alias("log_det"), *[f"m_{f}" for f in FEATURES], *[f"l_{a}_{b}" for a, b in _pairs()]), name)
 
@@ -278,12 +280,18 @@ def estimates(rows: DataFrame) -> DataFrame:
         now = _step(rows, now, keys)
     best = now.groupBy("unit").agg(F.min(F.struct("log_det", "start")).alias("b")).select("unit", F.col("b.start").alias("start"))
     now = written(now.join(best, list(keys)).drop("start"), "best")
-    for _ in range(MOST_STEPS):
-        before, now = now, _step(rows, now, ("unit",))
-        change = now.select("unit", "log_det").join(before.select("unit", F.col("log_det").alias("old")), "unit").agg(F.max(F.col("old") - F.col("log_det"))).first()[0]
-        discard(before)
-        if change is None or change < SETTLED:
+    done, old = [], F.col("log_det").alias("old")
+    for _ in range(MOST_STEPS):  # units whose determinant falls no more are done with
+        step = _step(rows, now, ("unit",))
+        lower = step.join(now.select("unit", old), "unit").filter(F.col("log_det") < F.col("old") - SETTLED).drop("old")
+        lower = written(lower, "lower")
+        done.append(written(now.join(lower.select("unit"), "unit", "left_anti"), "settled"))
+        discard(now, step)
+        now = lower
+        if now.isEmpty():
             break
+    now = written(reduce(DataFrame.unionByName, done, now), "least")
+    discard(*done)
     near = rows.join(now, "unit").filter(_distance() <= _by_dimension(lambda p: chi2_quantile(REWEIGHT, p))).select("unit", *FEATURES, *[f"s_{f}" for f in FEATURES])
     return _estimate(near, ("unit",), _by_dimension(lambda p: consistency(REWEIGHT, p)), "reweighted")
 

@@ -26,19 +26,19 @@ def character_set(text: Column) -> Column:
     return F.array_distinct(characters(text))
 
 
-def shannon_entropy(text: Column, distinct: Column | None = None) -> Column:
+def shannon_entropy(text: Column) -> Column:
     """Entropy of the characters, their shares taken of the length in bytes.
 
-    distinct: the text's character set, if it is at hand.
+    Sorted characters stand in runs, and the lengths of the runs are the counts.
     """
-    distinct = character_set(text) if distinct is None else distinct
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(characters(text)), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
     size = F.octet_length(text).cast("double")
 
-    def bits(acc: Column, c: Column) -> Column:
-        p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / size
+    def bits(acc: Column, run: Column) -> Column:
+        p = F.length(run) / size
         return acc - p * F.log2(p)
 
-    return F.when(text == "", F.lit(0.0)).otherwise(F.aggregate(distinct, F.lit(0.0), bits))
+    return F.when(text == "", F.lit(0.0)).otherwise(F.aggregate(runs, F.lit(0.0), bits))
 
 
 def change_score(text: Column, other: Column) -> Column:

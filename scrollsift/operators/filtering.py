@@ -51,7 +51,7 @@ def tier2_scores(lines: DataFrame, registry: Registry) -> DataFrame:
     order = whole.orderBy("line_no")
     # each line is taken apart once, before the shuffle; the line before it lends its set.
     # the windows by capture come first, so that the others find their rows dealt already
-    taken = lines.withColumn("_set", T.character_set(F.col("line"))).withColumn("bits", T.shannon_entropy(F.col("line"), F.col("_set"))).withColumn("_technical", registry.technical(F.col("line")))
+    taken = lines.withColumn("_set", T.character_set(F.col("line"))).withColumn("bits", T.shannon_entropy(F.col("line"))).withColumn("_technical", registry.technical(F.col("line")))
     seen = (
         taken.withColumn("total_lines", F.count("*").over(whole))
         .withColumn("_previous", F.lag("line").over(order))

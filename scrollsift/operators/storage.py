@@ -22,9 +22,13 @@ SCHEMAS = {
 VERSION = 1
 
 
-def migrate(spark, database: str = "scrollsift") -> int:
-    """Create what is missing and record the schema version; returns the version before."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def migrate(spark, database: str = "scrollsift", location: str | None = None) -> int:
+    """Create what is missing and record the schema version; returns the version before.
+
+    location: where a new database keeps its tables, if not in the warehouse.
+    """
+    at = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{at}")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.migrations (version int, applied_at timestamp) USING parquet")
     before = spark.table(f"{database}.migrations").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
     if before < VERSION:

@@ -171,7 +171,7 @@ def session_delete(spark, d):
 
 
 def schema_version(spark, d):
-    S.migrate(spark, "scrollsift_check")
+    S.migrate(spark, "scrollsift_check", tables.shared_folder(spark, "database"))
     return spark.table("scrollsift_check.migrations").agg(F.max("version").cast("long").alias("version"))
 
 

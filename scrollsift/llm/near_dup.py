@@ -111,8 +111,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = written(rows.select("id", "hash", F.col(place["text"]).alias("text")).mapInArrow(_fingerprints, "id long, hash long, fp long"), "prints")
     of_root = prints.join(_labels(prints.select(F.col("id").alias("doc_id"), "fp"), radius, False), "fp").groupBy("root")
     stays = of_root.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash")).alias("s"))
-    stays = written(stays.select(F.col("s.id").alias("kept_id"), F.col("s.hash").alias("kept_hash")), "kept")
-    joined = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    stays = written(stays.select(F.col("s.none").alias("kept_none"), F.coalesce("s.id", F.lit(0)).alias("kept_id"), F.col("s.hash").alias("kept_hash")), "kept")
+    # plain keys without nulls, so that what the join deals serves the window too
+    keyed = rows.withColumns({"none": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0))})
+    joined = keyed.join(stays, [F.col("none") == F.col("kept_none"), F.col("id") == F.col("kept_id"), F.col("hash") == F.col("kept_hash")])
     whole = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
-    one = joined.withColumn("nth", F.row_number().over(W.partitionBy("kept_id", "kept_hash").orderBy(whole))).filter("nth = 1")
+    one = joined.withColumn("nth", F.row_number().over(W.partitionBy("none", "id", "hash").orderBy(whole))).filter("nth = 1")
     return one.select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)

@@ -158,14 +158,21 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_langs: int = MAX_LA
     return net
 
 
-def seen_share(net: ByteNet, part: pa.RecordBatch, col: str = "text") -> np.ndarray:
-    """What share of each text's letter pairs the network learned from; 1 for a text without any."""
+def seen_share(net: ByteNet, part: pa.RecordBatch, col: str = "text", step: int = 1 << 18) -> np.ndarray:
+    """What share of each text's letter pairs the network learned from; 1 for a text without any.
+
+    Counts ``step`` pairs at a time: the running sums take eight times the bytes of the texts.
+    """
     data, off = packed(part, col)
-    pairs = byte_pairs(data)
-    both = LETTERS[pairs]
-    last = np.maximum(off[1:] - 1, off[:-1])  # no pair crosses into the next text
-    n, known = (np.r_[0, np.cumsum(x)] for x in (both, both & net.seen[pairs]))
-    n, known = (x[np.minimum(last, len(pairs))] - x[np.minimum(off[:-1], len(pairs))] for x in (n, known))
+    first, last = off[:-1], np.maximum(off[1:] - 1, off[:-1])  # no pair crosses into the next text
+    n, known = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for s in range(0, len(data) - 1, step):
+        pairs = byte_pairs(data[s : s + step + 1])
+        both = LETTERS[pairs]
+        start, stop = (np.clip(x - s, 0, len(pairs)) for x in (first, last))
+        for count, marks in ((n, both), (known, both & net.seen[pairs])):
+            upto = np.r_[0, np.cumsum(marks)]
+            count += upto[stop] - upto[start]
     return np.where(n > 0, known / np.maximum(n, 1), 1.0)
 
 

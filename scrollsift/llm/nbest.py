@@ -43,13 +43,19 @@ from scrollsift.llm.common import documents, named
 MODEL = "piece_bpe_32k.model"
 META = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE, CACHED_CHARS = 1_000_000, 48
+#: Chunks that a generation of the cache remembers (there are two), and the longest that is remembered.
+CACHE, CACHED_CHARS = 300_000, 48
 #: Letters, and whatever else is neither letter nor meta symbol, each with the meta symbols before it.
 CHUNK = re.compile(rf"{META}*[^\W\d_¹²³]+|{META}*(?:[^\w{META}]|[\d_¹²³])+|{META}+")
 
 
 class Model(dict):
-    """A piece vocabulary; as a dict it remembers what the searches of short chunks gave."""
+    """A piece vocabulary; as a dict it remembers what the searches of short chunks gave.
+
+    A full cache becomes the older generation, from which a chunk comes back when it is
+    met again, so rare chunks go and frequent ones stay. Workers live on between the
+    stages of a pipeline, with whatever is remembered here.
+    """
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,7 +63,7 @@ class Model(dict):
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         of_byte = {i: b for b, i in self.byte.items()}
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.sp = sp
+        self.sp, self.older = sp, {}
         self.break_ids = len(sp.encode("\n"))
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)), 1 + len(self.byte))}
         total = math.log(sum(1 / r for r in rank.values()))
@@ -74,13 +80,18 @@ class Model(dict):
                 node = node.setdefault(c, [None, {}])[1]
             node.setdefault(piece[-1], [None, {}])[0] = (i, self.score[i])
 
-    def __missing__(self, chunk: str) -> tuple:
-        """(best score, loss of the second best or infinity, best ids, whether the library cuts it the same way)."""
-        search = self.segmentations(chunk, 1)
-        score, ids, bound = next(search)
-        found = (score, max(0.0, score - bound), array("i", ids).tobytes(), self.merged(chunk) == list(ids))
+    def __missing__(self, chunk: str) -> bytes:
+        """16 bytes and the best ids: the best score, and the loss of the second best or infinity, negative (also
+        -0.0) where the library cuts the chunk in another way. One object, as a tuple takes three times the memory."""
+        found = self.older.get(chunk)
+        if found is None:
+            search = self.segmentations(chunk, 1)
+            score, ids, bound = next(search)
+            lost = math.copysign(max(0.0, score - bound), 1 if self.merged(chunk) == list(ids) else -1)
+            found = array("d", (score, lost)).tobytes() + array("i", ids).tobytes()
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE:
+                self.older = self.copy()
                 self.clear()
             self[chunk] = found
         return found
@@ -190,15 +201,17 @@ def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
         chunks = m.chunks(text)
         if not chunks:
             return np.zeros(0, np.int32), None, 0.0, None, True, 0, 0
-        scores, lost, best, same = zip(*map(m.__getitem__, chunks), strict=True)
+        found = [*map(m.__getitem__, chunks)]
+        heads = np.frombuffer(b"".join([f[:16] for f in found])).reshape(-1, 2)
+        best, lost = [f[16:] for f in found], np.abs(heads[:, 1])
         ids = np.frombuffer(b"".join(best), np.int32)
-        score, at = float(sum(scores)), int(np.argmin(lost))
+        score, at = float(sum(heads[:, 0].tolist())), int(np.argmin(lost))
         second = None
         if lost[at] < float("inf"):  # the second best differs in the chunk that loses least by it
             other = array("i", [*m.segmentations(chunks[at], 2)][1][1]).tobytes()
             second = np.frombuffer(b"".join((*best[:at], other, *best[at + 1 :])), np.int32)
         back = m.decode(ids.tolist()) == text.replace(META, " ")
-        return ids, second, score, None if second is None else score - lost[at], back, len(chunks), sum(same)
+        return ids, second, score, None if second is None else score - float(lost[at]), back, len(chunks), len(chunks) - int(np.signbit(heads[:, 1]).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,6 +599,46 @@ def test_written_tables_go_with_their_scope(spark):
     assert not at(two).exists()
 
 
+def test_pieces_remember_frequent_chunks_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(nbest, "CACHE", 50)
+    m, searched = nbest.Model(public_tokenizers.path(nbest.MODEL)), Counter()
+    search = m.segmentations
+    m.segmentations = lambda chunk, n: (searched.update([chunk]), search(chunk, n))[1]
+    want = m["often"]
+    for i in range(1000):
+        assert m["often"] == want and m[f"rare{i}"]
+        assert len(m) <= 50
+    assert searched["often"] == 1 and len(m.older) <= 50
+    monkeypatch.setattr(nbest, "CACHE", 10_000)
+    tracemalloc.start()
+    for i in range(5000):
+        m[f"x{i}y"]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 280 * 5000, held / 5000
+
+
+def test_seen_share_takes_steps_and_little_memory():
+    net, rng = language.ByteNet.fresh(["a", "b"]), random.Random(5)
+    net.seen = np.random.default_rng(5).random(65536) < 0.5
+    texts = [None, "", "a", "12 3"] + ["".join(rng.choices("ab cDé漢 1\n", k=rng.randint(0, 300))) for _ in range(40)]
+    part = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    want = []
+    for t in texts:
+        raw = (t or "").encode()
+        pairs = [int(x) for x in language.byte_pairs(np.frombuffer(raw, np.uint8))] if raw else []
+        both = [x for x in pairs if language.LETTERS[x]]
+        want.append(sum(bool(net.seen[x]) for x in both) / len(both) if both else 1.0)
+    assert language.seen_share(net, part).tolist() == want
+    large = pa.RecordBatch.from_arrays([pa.array(["x y é z " * 500_000])], names=["text"])  # 4.5 MB
+    tracemalloc.start()
+    language.seen_share(net, large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak
+    assert all(language.seen_share(net, part, step=s).tolist() == want for s in (1, 2, 7, 64))
+
+
 def test_very_long_text(spark):
     text = "long text with an address a@b.example and token=abcdef1 " * 60_000  # 3 MB
     docs = spark.createDataFrame([(1, text, "en", "a"), (2, "short", "en", "a")], "doc_id long, text string, lang string, source string")

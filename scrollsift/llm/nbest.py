@@ -7,6 +7,12 @@ segmentations in the order of their scores. A text is cut into chunks that no
 piece of the vocabulary crosses (checked when a model is loaded); the best
 segmentations of a text are the best sums of its chunks' segmentations.
 
+Short chunks that no cache remembers are searched many at once in numpy, by the same
+passes: with exact heuristics the search for the best one never leaves its path, and the
+best way left unfollowed beside that path is the next score. Chunks whose two best scores
+are (almost) tied, or whose best path has characters outside the vocabulary, and long
+chunks go to the heap.
+
 The model file is a merge vocabulary: its scores only rank the pieces. As weights of the
 lattice serve log-probabilities by the Zipf-Mandelbrot law over that rank, after the single
 bytes; they add up to one over the vocabulary. The best path need not be the library's
@@ -29,7 +35,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import count
+from itertools import chain, count, pairwise, repeat
 
 import numpy as np
 import public_tokenizers
@@ -38,13 +44,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollsift.llm.common import documents, named
+from scrollsift.llm.common import documents, named, slices
 
 MODEL = "piece_bpe_32k.model"
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a generation of the cache remembers (there are two), and the longest that is remembered.
 CACHE, CACHED_CHARS = 300_000, 48
+#: Chunks that are searched at once, text that is cut at once, and scores so near that the heap settles them.
+TOGETHER, TEXT_BYTES, NEAR = 8192, 2 << 20, 1e-9
 #: Letters, and whatever else is neither letter nor meta symbol, each with the meta symbols before it.
 CHUNK = re.compile(rf"{META}*[^\W\d_¹²³]+|{META}*(?:[^\w{META}]|[\d_¹²³])+|{META}+")
 
@@ -79,6 +87,22 @@ class Model(dict):
             for c in piece[:-1]:
                 node = node.setdefault(c, [None, {}])[1]
             node.setdefault(piece[-1], [None, {}])[0] = (i, self.score[i])
+        self.tables()
+
+    def tables(self) -> None:
+        """The trie as arrays: sorted keys of (node, character), and for each the node there and its piece or -1."""
+        entries, waiting, nodes = [], [(0, self.trie)], 1
+        while waiting:
+            number, node = waiting.pop()
+            for c, (piece, below) in node.items():
+                entries.append((number << 21 | ord(c), nodes, -1 if piece is None else piece[0]))
+                waiting.append((nodes, below))
+                nodes += 1
+        keys, self.child, self.piece = (np.array(x) for x in zip(*sorted(entries), strict=True))
+        self.keys = np.append(keys, 1 << 62)
+        self.opening = np.full(0x110000, len(keys), np.int32)  # the root's keys by character
+        self.opening[keys[keys < 1 << 21]] = np.arange((keys < 1 << 21).sum())
+        self.scores = np.array([self.score.get(i, self.unknown) for i in range(self.sp.get_piece_size())])
 
     def __missing__(self, chunk: str) -> bytes:
         """16 bytes and the best ids: the best score, and the loss of the second best or infinity, negative (also
@@ -90,12 +114,123 @@ class Model(dict):
             lost = math.copysign(max(0.0, score - bound), 1 if self.merged(chunk) == list(ids) else -1)
             found = array("d", (score, lost)).tobytes() + array("i", ids).tobytes()
         if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.older = self.copy()
-                self.clear()
-            self[chunk] = found
+            self.remember(chunk, found)
         return found
 
+    def remember(self, chunk: str, found: bytes) -> None:
+        if len(self) >= CACHE:
+            self.older = self.copy()
+            self.clear()
+        self[chunk] = found
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Search the short chunks of these texts that aren't remembered, many at once."""
+        unseen = [c for c in set().union(*texts).difference(self) if len(c) <= CACHED_CHARS and c not in self.older]
+        for at in range(0, len(unseen), TOGETHER):
+            part = unseen[at : at + TOGETHER]
+            for chunk, found in zip(part, self.searched(part), strict=True):
+                if found is not None:
+                    self.remember(chunk, found)
+
+    def lattices(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """The lattices of chunks that aren't empty, one after the other, each with one position more than
+        characters: start, end, piece (-1: none) and score of every edge, those with the same end side by side,
+        lower ends of their chunk first; how many characters of the chunk lie before the end; and each chunk's last position."""
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        stop = np.cumsum(size)
+        chunk = np.repeat(np.arange(len(chunks)), size)
+        at, node, single, edges, depth = np.arange(len(code)), None, np.zeros(len(code), bool), [], 0
+        while len(at):
+            if depth:
+                key = node << 21 | code[at + depth]
+                found = np.searchsorted(self.keys, key)
+                there = self.keys[found] == key
+            else:
+                found = self.opening[code]
+                there = found < len(self.child)
+            at, found = at[there], found[there]
+            node, piece = self.child[found], self.piece[found]
+            whole = piece >= 0
+            if not depth:
+                single[at[whole]] = True
+            depth += 1
+            edges.append((at[whole], at[whole] + depth, piece[whole]))
+            inside = at + depth < stop[chunk[at]]
+            at, node = at[inside], node[inside]
+        alone = np.flatnonzero(~single)
+        edges.append((alone, alone + 1, np.full(len(alone), -1)))
+        start, end, piece = map(np.concatenate, zip(*edges, strict=True))
+        of = chunk[start]
+        height = end - (stop - size)[of]
+        order = np.argsort(height * len(code) + end - 1)
+        start, end, piece = (start + of)[order], (end + of)[order], piece[order]
+        return start, end, piece, np.where(piece < 0, self.unknown, self.scores[piece]), height[order], stop + np.arange(len(chunks))
+
+    def searched(self, chunks: list[str]) -> list[bytes | None]:
+        """What ``__missing__`` gives for each of these chunks, none of them empty; None is left to it."""
+        start, end, piece, gain, height, last = self.lattices(chunks)
+        group = np.flatnonzero(np.diff(end, prepend=-1))  # edges that end in one position
+        many, group_of = np.diff(group, append=len(end)), np.zeros(last[-1] + 1, np.int64)
+        group_of[end[group]] = np.arange(len(group))
+        # forward Viterbi, for all chunks from one position to the next
+        ahead, levels = np.zeros(last[-1] + 1), np.arange(1, height[-1] + 2)
+        for (a, g), (b, h) in pairwise(zip(np.searchsorted(height, levels), np.searchsorted(height[group], levels), strict=True)):
+            ahead[end[group[g:h]]] = np.maximum.reduceat(ahead[start[a:b]] + gain[a:b], group[g:h] - a)
+        # backward along the best ways; ``left`` is the best way not followed
+        score, left, whole = np.zeros(len(chunks)), np.full(len(chunks), -np.inf), np.ones(len(chunks), bool)
+        at, going, steps = last.copy(), np.arange(len(chunks)), []
+        opening = last - np.fromiter(map(len, chunks), np.int64, len(chunks))
+        while len(going):
+            g = group_of[at[going]]
+            n = many[g]
+            first = np.cumsum(n) - n
+            edge = np.arange(n.sum()) + np.repeat(group[g] - first, n)
+            behind = np.repeat(score[going], n) + gain[edge]
+            total = ahead[start[edge]] + behind
+            top = np.maximum.reduceat(total, first)
+            hit = np.flatnonzero(total == np.repeat(top, n))
+            hit = hit[np.searchsorted(hit, first)]  # the first of equal ones
+            total[hit] = -np.inf
+            left[going] = np.maximum(left[going], np.maximum.reduceat(total, first))
+            edge = edge[hit]
+            score[going], at[going] = behind[hit], start[edge]
+            whole[going] &= piece[edge] >= 0
+            steps.append((going, piece[edge]))
+            going = going[at[going] > opening[going]]
+        of, ids = map(np.concatenate, zip(*reversed(steps), strict=True))
+        order = np.argsort(of, kind="stable")
+        of, ids = of[order], ids[order].astype(np.int32)
+        lost = score - left
+        settled = whole & (lost > NEAR)
+        agreed = self.agreed(chunks, of, ids)
+        heads = np.stack((score, np.where(agreed, lost, -lost)), 1).tobytes()
+        ends = (4 * np.cumsum(np.bincount(of, minlength=len(chunks)))).tolist()
+        raw = ids.tobytes()
+        return [heads[16 * i : 16 * i + 16] + raw[a:b] if ok else None for i, (a, b, ok) in enumerate(zip([0, *ends], ends, settled.tolist()))]
+
+    def agreed(self, chunks: list[str], of: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether the library cuts each chunk into these ids (``of``: the chunk of each id)."""
+        feed = self.sp.encode("\n")[-1]
+        joined = ["\n" + "\n".join(chunks[i : i + 64]).replace(META, " ") for i in range(0, len(chunks), 64)]  # short texts merge faster
+        found = self.sp.encode(joined, num_threads=1)
+        theirs = np.array([*chain.from_iterable(x[self.break_ids - 1 :] for x in found)], np.int32)
+        breaks = np.flatnonzero(theirs == feed)
+        at = np.fromiter((1 + c.count("\n") for c in chunks), np.int64, len(chunks)).cumsum()  # chunks may have line breaks themselves
+        if len(breaks) == at[-1]:
+            before = breaks[np.concatenate(([0], at[:-1]))]
+            n = np.diff(before, append=len(theirs)) - 1
+            theirs = np.delete(theirs, before)
+        else:
+            merged = [self.merged(c) for c in chunks]
+            theirs = np.array([*chain.from_iterable(merged)], np.int32)
+            n = np.fromiter(map(len, merged), np.int64, len(chunks))
+        same = n == np.bincount(of, minlength=len(chunks))
+        mine, differs = same[of], np.zeros(len(chunks), bool)
+        compared = of[mine]
+        differs[compared[ids[mine] != theirs[np.repeat(same, n)]]] = True
+        return same & ~differs
+
     def merged(self, chunk: str) -> list[int]:
         """The library's pieces of a chunk: no merge crosses a line break, so one keeps off the prefix of a text."""
         return self.sp.encode("\n" + chunk.replace(META, " "))[self.break_ids :]
@@ -197,28 +332,33 @@ def encode_documents(docs: DataFrame, model_name: str = MODEL) -> DataFrame:
     text, whether decoding the best gives the text again, its chunks and those that the
     library cuts the same way. Without a shuffle."""
 
-    def one(m: Model, text: str) -> tuple:
-        chunks = m.chunks(text)
+    def one(m: Model, text: str, chunks: list[str]) -> tuple:
         if not chunks:
             return np.zeros(0, np.int32), None, 0.0, None, True, 0, 0
         found = [*map(m.__getitem__, chunks)]
-        heads = np.frombuffer(b"".join([f[:16] for f in found])).reshape(-1, 2)
-        best, lost = [f[16:] for f in found], np.abs(heads[:, 1])
-        ids = np.frombuffer(b"".join(best), np.int32)
+        flat = np.frombuffer(b"".join(found), np.int32)
+        end = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) >> 2
+        head = np.concatenate(([0], end[:-1]))[:, None] + np.arange(4)
+        heads, is_id = flat[head].view(np.float64), np.ones(len(flat), bool)
+        is_id[head] = False
+        ids, lost = flat[is_id], np.abs(heads[:, 1])
         score, at = float(sum(heads[:, 0].tolist())), int(np.argmin(lost))
         second = None
         if lost[at] < float("inf"):  # the second best differs in the chunk that loses least by it
-            other = array("i", [*m.segmentations(chunks[at], 2)][1][1]).tobytes()
-            second = np.frombuffer(b"".join((*best[:at], other, *best[at + 1 :])), np.int32)
+            other = np.array([*m.segmentations(chunks[at], 2)][1][1], np.int32)
+            after = int(end[at]) - 4 * (at + 1)
+            second = np.concatenate((ids[: after - (len(found[at]) >> 2) + 4], other, ids[after:]))
         back = m.decode(ids.tolist()) == text.replace(META, " ")
         return ids, second, score, None if second is None else score - float(lost[at]), back, len(chunks), len(chunks) - int(np.signbit(heads[:, 1]).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [one(m, t.as_py() or "") for t in part.column("text")]
+            for part in slices(batch, TEXT_BYTES):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                chunks = [*map(m.chunks, texts)]
+                m.learn(chunks)
+                rows = [*map(one, repeat(m), texts, chunks)]
                 columns = zip(*rows, strict=True)
                 arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])

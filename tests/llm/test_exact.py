@@ -449,6 +449,24 @@ def test_second_segmentation_of_tied_chunks(spark):
     assert ties >= 1
 
 
+def test_chunks_searched_together_equal_the_heap(docs, monkeypatch):
+    one, many = (nbest.Model(public_tokenizers.path(nbest.MODEL)) for _ in range(2))
+    rnd = random.Random(4)
+    texts = [r.text for r in docs.limit(80).collect()] + ["ingered x.%%% $$$", "a\nb\n\n c", "日本 x²!!", "x" * 100, "", "😀\n😀"]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(1, 128), rnd.randrange(1, 0x3000), rnd.randrange(0x10000, 0x1FFFF), 10, 32])) for _ in range(60)) for _ in range(100)]
+    monkeypatch.setattr(nbest, "TOGETHER", 1000)
+    chunks = [*map(many.chunks, texts)]
+    heap = Counter()
+    search = many.segmentations
+    many.segmentations = lambda chunk, n: (heap.update([chunk]), search(chunk, n))[1]
+    many.learn(chunks)
+    every = set().union(*chunks)
+    assert not heap and len(many) > 0.6 * len(every) and max(map(len, many)) <= nbest.CACHED_CHARS
+    for chunk in every:
+        assert many[chunk] == one[chunk], chunk
+    assert heap["x" * 100] == 0 and heap[nbest.META + "x" * 100] == 1
+
+
 def test_weights_are_log_probabilities_in_the_order_of_the_merges():
     m = nbest.model(nbest.MODEL)
     assert sum(np.exp(s) for s in m.score.values()) == pytest.approx(1)
